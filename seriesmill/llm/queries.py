@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import quality, sentencepiece_bpe, simhash
-from seriesmill.llm.common import table
+from seriesmill.llm import pii, quality, sentencepiece_bpe, sharding, simhash, syncmers
+from seriesmill.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,22 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.annotate(docs)
+    base = F.filter("pii_spans", lambda s: s["base"])
+
+    def of(k: int) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+
+    counts = [of(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.said(base), 256).alias("base_sha256"), pii.said(F.col("pii_spans")).alias("spans"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_texts(table(spark, sf_dir, "documents"), piece_model())
 
@@ -33,5 +49,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.trained_model(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {"op3_sentencepiece": op3_sentencepiece, "op7_simhash": op7_simhash, "op8_quality": op8_quality}
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_with_neighbours(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op3_sentencepiece": op3_sentencepiece, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op10_syncmers": op10_syncmers}
 ORACLE: dict[str, str] = {}

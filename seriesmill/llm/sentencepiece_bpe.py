@@ -18,6 +18,7 @@ give repeated rows; columns of the input other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import codecs
 import gc
 import hashlib
 import heapq
@@ -33,6 +34,7 @@ MARK = "▁"
 #: Chunks of at most so many characters are remembered: the last CHUNKS to 2 * CHUNKS that a task met.
 CHUNK_CHARS, CHUNKS = 40, 200_000
 _NEVER = float("inf")
+codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -164,11 +166,11 @@ class Agenda(dict):
                 run.append(self.of_byte[i])
                 continue
             if run:
-                out.append(run.decode("utf-8", "replace"))
+                out.append(run.decode("utf-8", "each_byte"))
                 run.clear()
             out.append(self.shown[i])
         if run:
-            out.append(run.decode("utf-8", "replace"))
+            out.append(run.decode("utf-8", "each_byte"))
         return "".join(out)
 
 
