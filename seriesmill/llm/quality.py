@@ -17,9 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: At most so many labelled documents are fetched to the driver for the fit.
 TRAIN_DOCS = 600
@@ -229,9 +231,6 @@ def assess(docs: DataFrame, model: Model, share: float = CONTENT_SHARE) -> DataF
 
 def keep_good(docs: DataFrame, model: Model, share: float = CONTENT_SHARE) -> DataFrame:
     """The documents that pass, with all their columns."""
-    import pandas as pd
-    from pyspark.sql.types import BooleanType
-
     @F.pandas_udf(BooleanType())
     def passes(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: judge(model, x, share)[-1]).astype(bool)
