@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import pii, quality, sentencepiece_bpe, sharding, simhash, syncmers
-from seriesmill.llm.common import cut, table
+from seriesmill.llm import chat, licenses, mixing, pii, quality, sentencepiece_bpe, sharding, simhash, syncmers
+from seriesmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_texts(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and pass of the mixture, with its place."""
+    plan = mixing.schedule(mixing.units_of(table(spark, sf_dir, "documents")))
+    return plan.select("doc_id", "source", "tokens", F.col("pass").cast("long").alias("pass"), "start", F.round("at", 9).alias("at"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,5 +67,5 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_with_neighbours(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op3_sentencepiece": op3_sentencepiece, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op10_syncmers": op10_syncmers}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_licenses": op4_licenses, "op5_mixing": op5_mixing, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_chat": op9_chat, "op10_syncmers": op10_syncmers}
+ORACLE: dict[str, str] = {"op4_licenses": licenses.oracle(), "op9_chat": chat.ORACLE}
