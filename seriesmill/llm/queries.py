@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import chat, licenses, mixing, pii, quality, sentencepiece_bpe, sharding, simhash, syncmers
+from seriesmill.llm import chat, licenses, mixing, pii, quality, sentencepiece_bpe, sharding, simhash, suffix_dedup, syncmers
 from seriesmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_summary(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -67,5 +71,5 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_with_neighbours(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_licenses": op4_licenses, "op5_mixing": op5_mixing, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_chat": op9_chat, "op10_syncmers": op10_syncmers}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_licenses": op4_licenses, "op5_mixing": op5_mixing, "op6_repeats": op6_repeats, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_chat": op9_chat, "op10_syncmers": op10_syncmers}
 ORACLE: dict[str, str] = {"op4_licenses": licenses.oracle(), "op9_chat": chat.ORACLE}
