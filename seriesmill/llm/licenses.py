@@ -5,7 +5,7 @@ lower-case ASCII words, and its distinct bigrams A are compared with the bigrams
 a template: 2|A n B| / (|A| + |B|) of at least DICE is a hit. Two exact bounds prune:
 |A| must lie between |B| * DICE / (2 - DICE) and |B| * (2 - DICE) / DICE, and as a hit
 misses at most |B| * (2 - 2 * DICE) / (2 - DICE) of a template's bigrams, it holds at
-least one word of a few that touch more of them (`gate_words`). All happens within a
+least one of a few words or bigrams that touch more of them (`gate_terms`). All happens within a
 row: no shuffle, no join.
 
 Defined results: a null or empty text has no hits; of equal coefficients the longer
@@ -58,18 +58,40 @@ def bigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(map(" ".join, zip(words, words[1:]))))
 
 
-def gate_words(threshold: float = DICE, templates=TEMPLATES) -> list[str]:
-    """Words of which every hit has at least one: for each template, long words that touch more bigrams than a hit can miss."""
-    gate: set[str] = set()
+def gate_terms(threshold: float = DICE, templates=TEMPLATES) -> tuple[list[str], list[tuple[str, str]]]:
+    """Words, and bigrams, of which every hit has at least one: for each template they touch more bigrams than a hit can miss.
+
+    Words of five letters or more serve first, those that are in use already, then long
+    ones; where they are too few, bigrams serve as a whole, as short words are common.
+    """
+    words: set[str] = set()
+    pairs: set[tuple[str, str]] = set()
     for _, text in templates:
-        bigrams, touched = bigrams_of(text), set()
-        may_miss = len(bigrams) * (2 - 2 * threshold) / (2 - threshold)
-        for word in sorted(set(words_of(text)), key=lambda w: (w not in gate, -len(w), w)):
+        bigrams = [tuple(b.split()) for b in bigrams_of(text)]
+        may_miss, touched = len(bigrams) * (2 - 2 * threshold) / (2 - threshold), set()
+        for word in sorted({w for w in words_of(text) if len(w) > 4}, key=lambda w: (not any(v in w for v in words), w == "under", -len(w), w)):
+            if len(touched) > may_miss + 1e-9:
+                break
+            touched |= {b for b in bigrams if word in b}
+            words.add(word)
+        for b in bigrams:
             if len(touched) > may_miss + 1e-9:
                 break
-            touched |= {b for b in bigrams if word in b.split()}
-            gate.add(word)
-    return sorted(w for w in gate if not any(v != w and v in w for v in gate))  # a contained word finds both
+            if b not in touched:
+                touched.add(b)
+                pairs.add(b)
+    return sorted(w for w in words if not any(v != w and v in w for v in words)), sorted(pairs)  # a contained word finds both
+
+
+def _gate(text: Column, threshold: float, templates) -> Column:
+    low = F.lower(text)
+    words, pairs = gate_terms(threshold, templates)
+    test = F.lit(False)
+    for w in words:
+        test = test | F.contains(low, F.lit(w))
+    if pairs:
+        test = test | low.rlike("|".join(f"{a}[^a-z0-9]+{b}" for a, b in pairs))
+    return test
 
 
 def _bigrams(text: Column) -> Column:
@@ -81,7 +103,6 @@ def _bigrams(text: Column) -> Column:
 
 def hits(text: Column, threshold: float = DICE, templates=TEMPLATES) -> Column:
     """array<struct<dice, size, template, line, license>>: the best template of each unit that has one, by line."""
-    gate = "(?i)" + "|".join(gate_words(threshold, templates))
     known = F.array(*(F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(len(b)).alias("n")) for k, (name, t) in enumerate(templates) if (b := bigrams_of(t))))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     kind = "struct<dice:double,size:int,template:int,line:int,license:string>"
@@ -95,10 +116,10 @@ def hits(text: Column, threshold: float = DICE, templates=TEMPLATES) -> Column:
 
         return F.transform(F.array(_bigrams(unit)), within)[0]
 
-    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda u, i: F.struct(i.alias("line"), u.alias("unit"))), lambda x: x["unit"].rlike(gate))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda u, i: F.struct(i.alias("line"), u.alias("unit"))), lambda x: _gate(x["unit"], threshold, templates))
     units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), text.alias("unit"))), lines)
     found = F.filter(F.transform(units, lambda x: best(x["line"], x["unit"])), lambda h: h.isNotNull())
-    return F.when(text.rlike(gate), found).otherwise(F.array().cast(f"array<{kind}>"))
+    return F.when(_gate(text, threshold, templates), found).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def scan(docs: DataFrame, threshold: float = DICE) -> DataFrame:
