@@ -499,3 +499,211 @@ def augment_train(spark, sf_dir):
     px = src.with_split(src.all_series(spark, sf_dir)).select("series_id", "seq", "ts", "typical_price", "split")
     fake = px.where("split between 3 and 4").withColumn("typical_price", F.lit(-1.0))
     return rounded(S.augment(px.where("split <= 3").drop("split"), fake.drop("split")).select("series_id", "seq", "ts", "typical_price"))
+
+
+# Generators with relational forms
+
+_DRAW = "('0x' || substr(md5({0}), 1, 8))::UBIGINT::BIGINT"
+_BOOT = f"""
+bn AS (SELECT series_id, count(*) AS n, count(*) - 30 AS mx FROM px GROUP BY 1 HAVING count(*) - 30 >= 1),
+bd AS (SELECT series_id, s AS seed, b AS block, {_DRAW.format("s || ':' || b")} % mx AS st FROM bn, (SELECT unnest(range(42, 45)) AS s), (SELECT unnest(range(7)) AS b)),
+bp AS (SELECT d.*, o AS pos, ln(p.typical_price) AS l FROM bd d, (SELECT unnest(range(30)) AS o) JOIN px p ON p.series_id = d.series_id AND p.seq = d.st + o),
+be AS (SELECT series_id, seed, block, max(CASE WHEN pos = 0 THEN l END) AS a, max(CASE WHEN pos = 29 THEN l END) AS b FROM bp GROUP BY 1, 2, 3),
+bc AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY series_id, seed ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + first_value(a) OVER (PARTITION BY series_id, seed ORDER BY block) AS base FROM be),
+boot AS (SELECT series_id, seed, block * 30 + pos AS seq, exp(base + l - a) AS typical_price FROM bp JOIN bc USING (series_id, seed, block) WHERE block * 30 + pos < 200)"""
+
+
+@query(f"{PX}, {_BOOT} SELECT series_id, seed, seq, round(typical_price, 4) AS typical_price FROM boot")
+def block_bootstrap(spark, sf_dir):
+    return rounded(G.block_bootstrap(src.all_series(spark, sf_dir), 200, n_seeds=3), 4)
+
+
+@query(f"""RECURSIVE {RET}, {_STATES}, {_EDGES},
+fr AS (SELECT series_id, state, count(*) / sum(count(*)) OVER (PARTITION BY series_id) AS f FROM st GROUP BY 1, 2),
+ft AS (SELECT series_id, list(state ORDER BY state) AS dsts, list(cum ORDER BY state) AS cums FROM (SELECT *, sum(f) OVER (PARTITION BY series_id ORDER BY state) AS cum FROM fr) GROUP BY 1),
+ep AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY series_id, src) AS p FROM ed),
+et AS (SELECT series_id, src, list(dst ORDER BY dst) AS dsts, list(cum ORDER BY dst) AS cums FROM (SELECT *, sum(p) OVER (PARTITION BY series_id, src ORDER BY dst) AS cum FROM ep) GROUP BY 1, 2),
+walk AS (
+  SELECT series_id, s AS seed, 0 AS step, dsts[least(len(list_filter(cums, lambda c: c <= {_DRAW.format("s || ':walk:0'")} / 4294967296.0::DOUBLE * cums[-1])) + 1, len(cums))] AS state FROM ft, (SELECT unnest(range(42, 44)) AS s)
+  UNION ALL
+  SELECT w.series_id, w.seed, w.step + 1, coalesce(e.dsts, f.dsts)[least(len(list_filter(coalesce(e.cums, f.cums), lambda c: c <= {_DRAW.format("w.seed || ':walk:' || (w.step + 1)")} / 4294967296.0::DOUBLE * coalesce(e.cums, f.cums)[-1])) + 1, len(coalesce(e.cums, f.cums)))]
+  FROM walk w JOIN ft f ON f.series_id = w.series_id LEFT JOIN et e ON e.series_id = w.series_id AND e.src = w.state WHERE w.step < 59),
+pool AS (SELECT series_id, state, ret, row_number() OVER (PARTITION BY series_id, state ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY series_id, state) AS n FROM st)
+SELECT w.series_id, seed, step::INT AS step, w.state::INT AS state, {R6.format('ret')} AS ret FROM walk w JOIN pool p ON p.series_id = w.series_id AND p.state = w.state AND p.k = {_DRAW.format("seed || ':value:' || step")} % p.n""".replace("RECURSIVE ", "WITH RECURSIVE ", 1))
+def markov_walk(spark, sf_dir):
+    return rounded(G.markov_walk(_states(spark, sf_dir), 60, n_seeds=2))
+
+
+@query(f"""RECURSIVE {RET},
+gx AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY seq) AS t, ret - avg(ret) OVER (PARTITION BY series_id) AS x, var_pop(ret) OVER (PARTITION BY series_id) AS v FROM ret),
+gg AS (SELECT a, b FROM (SELECT unnest([{', '.join(f'{a}::DOUBLE' for a in regimes.ALPHAS)}]) AS a), (SELECT unnest([{', '.join(f'{b}::DOUBLE' for b in regimes.BETAS)}]) AS b) WHERE a + b < 0.999::DOUBLE),
+gr AS (
+  SELECT series_id, a, b, v * (1 - a - b) AS omega, 1::BIGINT AS t, v AS s2, x, -0.5::DOUBLE * (ln(v) + x * x / v) AS ll FROM gx, gg WHERE t = 1
+  UNION ALL
+  SELECT series_id, a, b, omega, t, s2, x, ll - 0.5::DOUBLE * (ln(s2) + x * x / s2) FROM (
+    SELECT r.series_id, a, b, omega, g.t, greatest(omega + a * r.x * r.x + b * r.s2, 1e-20) AS s2, g.x, ll FROM gr r JOIN gx g ON g.series_id = r.series_id AND g.t = r.t + 1)),
+gl AS (SELECT *, row_number() OVER (PARTITION BY series_id, a, b ORDER BY t DESC) AS k FROM gr)
+SELECT series_id, a AS alpha, b AS beta, {R6.format('omega')} AS omega, round(ll, 3) AS ll FROM gl WHERE k = 1""".replace("RECURSIVE ", "WITH RECURSIVE ", 1))
+def garch_grid(spark, sf_dir):
+    g = regimes.garch_grid(returns_of(spark, sf_dir))
+    return rounded(g.withColumn("ll", F.round("ll", 3)))
+
+
+@query()
+def garch_fit(spark, sf_dir):
+    return regimes.garch_fit(returns_of(spark, sf_dir))
+
+
+@query(f"""g AS (SELECT unnest(range(1000)) AS i), d AS (SELECT i, {_DRAW.format("'7:n:' || i || ':a'")} AS a, {_DRAW.format("'7:n:' || i || ':b'")} AS b, {_DRAW.format("'7:i:' || i")} % 150 AS k, {_DRAW.format("'7:r:' || i")} / 4294967296.0::DOUBLE AS u FROM g)
+SELECT i AS seq, k AS index, {R6.format('sqrt(-2 * ln((a + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) * cos(2 * pi() * b / 4294967296.0::DOUBLE)')} AS normal, round(10 ** (-5 + u * 3), 8) AS rate FROM d""")
+def draws(spark, sf_dir):
+    i, seed = F.col("id"), F.lit(7)
+    rate = C.log_uniform(1e-5, 1e-2, C.uniform(seed, F.lit("r"), i))
+    return spark.range(1000).select(i.alias("seq"), C.uniform_index(F.lit(150), seed, F.lit("i"), i).alias("index"), (F.round(C.normal(seed, F.lit("n"), i), 6) + 0.0).alias("normal"), F.round(rate, 8).alias("rate"))
+
+
+@query(f"{RET}, b AS (SELECT series_id, seq // 10 AS block, seq % 10 AS pos, ret FROM ret), l AS (SELECT *, lag(ret) OVER (PARTITION BY series_id ORDER BY block, pos) AS prev FROM b) SELECT series_id, block, pos, {R6.format('CASE WHEN pos = 0 AND prev IS NOT NULL THEN 0.7::DOUBLE * ret + 0.3::DOUBLE * prev ELSE ret END')} AS ret FROM l WHERE block > 0 OR pos > 0")
+def smoothed_blocks(spark, sf_dir):
+    r = returns_of(spark, sf_dir)
+    b = r.select("series_id", F.floor(F.col("seq") / 10).alias("block"), (F.col("seq") % 10).alias("pos"), "ret")
+    return rounded(S.smooth_boundaries(b, 0.3))
+
+
+# Comparisons and sweeps
+
+_RUNS = f"{RET}, runs AS (SELECT series_id AS protocol, seq % 10 AS seed, avg(abs(ret)) AS val_mae, stddev_pop(ret) AS test_mae FROM ret GROUP BY 1, 2)"
+
+
+def _runs(spark, sf_dir):
+    return returns_of(spark, sf_dir).groupBy(F.col("series_id").alias("protocol"), (F.col("seq") % 10).alias("seed")).agg(F.avg(F.abs("ret")).alias("val_mae"), F.stddev_pop("ret").alias("test_mae"))
+
+
+@query(f"""{_RUNS}, m AS (SELECT protocol, avg(val_mae) AS mean, stddev_pop(val_mae) AS std, min(val_mae) AS lo, max(val_mae) AS hi, count(*) AS n FROM runs GROUP BY 1),
+d AS (SELECT m.*, (SELECT max(abs(r.val_mae - m.mean) / m.mean) FROM runs r WHERE r.protocol = m.protocol) AS max_dev FROM m)
+SELECT protocol, {', '.join(f"{R6.format(c)} AS {c}" for c in ('mean', 'std', 'lo', 'hi', 'max_dev'))}, n, {R6.format('least(2 * max_dev, 0.5::DOUBLE)')} AS tol_double, {R6.format('greatest(3 * std / mean, max_dev) * 1.2::DOUBLE')} AS tol_sigma, {R6.format('max_dev * 1.2::DOUBLE')} AS tol_gap FROM d""")
+def tolerance_summary(spark, sf_dir):
+    return rounded(tolerance.summary(_runs(spark, sf_dir)))
+
+
+@query(f"""{_RUNS}, r AS (SELECT protocol, avg(val_mae) AS v, avg(test_mae) AS t FROM runs WHERE seed = 0 GROUP BY 1),
+g AS (SELECT protocol, abs(val_mae - v) / v AS vg, abs(test_mae - t) / t AS tg FROM runs JOIN r USING (protocol) WHERE seed > 0)
+SELECT protocol, {R6.format('avg(vg)')} AS mean_val_gap, {R6.format('max(vg)')} AS max_val_gap, {R6.format('avg(tg)')} AS mean_test_gap, {R6.format('max(tg)')} AS max_test_gap, {R6.format('greatest(max(vg), max(tg)) * 1.2::DOUBLE')} AS tolerance FROM g GROUP BY 1""")
+def tolerance_gap(spark, sf_dir):
+    return rounded(tolerance.real_gap(_runs(spark, sf_dir).withColumn("real", F.col("seed") == 0)))
+
+
+@query(f"""{RET}, l AS (SELECT series_id, seq % 6 + 1 AS horizon, ret AS y, coalesce(lag(ret) OVER (PARTITION BY series_id ORDER BY seq), 0) AS pred FROM ret)
+SELECT horizon::INT AS horizon, {R6.format('avg(abs(pred - y))')} AS mae, count(*) AS n FROM l GROUP BY 1 UNION ALL SELECT NULL, {R6.format('avg(abs(pred - y))')}, count(*) FROM l""")
+def horizon_errors(spark, sf_dir):
+    r = returns_of(spark, sf_dir)
+    pairs = r.select((F.col("seq") % 6 + 1).cast("int").alias("horizon"), F.col("ret").alias("y"), F.coalesce(F.lag("ret").over(S.ordered()), F.lit(0.0)).alias("pred"))
+    return rounded(evaluate.horizon_errors(pairs))
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"{v}::DOUBLE" if isinstance(v, float) else f"{v}" for v in values) + "]"
+
+
+_GRID = ", ".join(f"(SELECT unnest({_list(v)}) AS {k}, unnest(range({len(v)})) AS i{n})" for n, (k, v) in enumerate(search.HYBRID_GRID.items()))
+
+
+@query(f"g AS (SELECT (i0 * 5 + i1) * 5 + i2 AS config_id, k::INT AS k, block::INT AS block, scale FROM {_GRID}) SELECT * FROM g")
+def param_grid(spark, sf_dir):
+    return search.param_grid(spark, search.HYBRID_GRID)
+
+
+@query(f"g AS (SELECT (i0 * 5 + i1) * 5 + i2 AS config_id, k::INT AS k, block::INT AS block, scale FROM {_GRID}) SELECT config_id, k, block, scale, round(({_DRAW.format("'3:' || config_id")} / 4294967296.0::DOUBLE), 6) AS score FROM g ORDER BY score, config_id LIMIT 10")
+def sweep_topk(spark, sf_dir):
+    scored = search.param_grid(spark, search.HYBRID_GRID).withColumn("score", F.round(C.uniform(F.lit(3), F.col("config_id")), 6))
+    return search.top(scored, 10)
+
+
+_METRICS = _RECORD + ", metrics AS (SELECT split_part(series_id, ':', 1) AS generator, " + ", ".join(f"{e} AS {k}" for k, e in _FIELDS.items()) + " FROM rec)"
+_SUMMARY = {"std_ratio": ("avg_std_ratio", 3), "ac_lag1_ratio": ("avg_ac1_ratio", 3), "ac_lag5_ratio": ("avg_ac5_ratio", 3), "js_divergence": ("avg_js_div", 4), "wasserstein": ("avg_wasserstein", 6), "ks_statistic": ("avg_ks_stat", 3), "skew_diff": ("avg_skew_diff", 3), "kurt_diff": ("avg_kurt_diff", 3), "vol_cluster_ratio": ("avg_vol_cluster_ratio", 3), "hurst_diff": ("avg_hurst_diff", 3), "spectral_distance": ("avg_spectral_dist", 6), "price_range_ratio": ("avg_price_range_ratio", 3)}
+_RANKS = {"std_ratio": ("std_ratio", 3), "ac_lag1_ratio": ("ac1_ratio", 3), "js_divergence": ("js_div", 4), "wasserstein": ("wass", 6), "vol_cluster_ratio": ("vol_clust", 3), "hurst_diff": ("hurst_diff", 3), "spectral_distance": ("spectral", 6)}
+SUMMARY_VIEW = "SELECT generator, COUNT(*) AS n_seeds, " + ", ".join(f"ROUND(AVG({c}), {d}) AS {a}" for c, (a, d) in _SUMMARY.items()) + " FROM metrics GROUP BY generator"
+RANKING_VIEW = "SELECT generator, " + ", ".join(f"ROUND(AVG({c}), {d}) AS {a}" for c, (a, d) in _RANKS.items()) + " FROM metrics GROUP BY generator ORDER BY js_div ASC"
+
+
+def _metrics(spark, sf_dir) -> None:
+    record = T.metric_record(pair_of(spark, sf_dir))
+    src.metrics_table(record.withColumn("generator", F.substring_index("series_id", ":", 1)))
+
+
+@query(f"{_METRICS} {SUMMARY_VIEW}")
+def generator_summary(spark, sf_dir):
+    _metrics(spark, sf_dir)
+    return spark.sql(SUMMARY_VIEW)
+
+
+@query(f"{_METRICS} {RANKING_VIEW}")
+def metric_rankings(spark, sf_dir):
+    _metrics(spark, sf_dir)
+    return spark.sql(RANKING_VIEW)
+
+
+@query(f"{_METRICS} SELECT generator, " + ", ".join(f"{R6.format(f'avg({c})')} AS {c}" for c in ("std_ratio", "ac_lag1_ratio", "skew_real", "skew_synth", "kurt_real", "kurt_synth")) + " FROM metrics GROUP BY 1")
+def seed_ratios(spark, sf_dir):
+    record = T.metric_record(pair_of(spark, sf_dir), with_spectrum=False).withColumn("generator", F.substring_index("series_id", ":", 1))
+    return rounded(tolerance.seed_ratios(record, ["generator"]))
+
+
+# Fits, samplers and searches that SQL can't express
+
+
+@query()
+def hmm_regimes(spark, sf_dir):
+    return regimes.hmm_regimes(S.regime_features(src.all_series(spark, sf_dir))).drop("model")
+
+
+@query()
+def regime_detect(spark, sf_dir):
+    return regimes.detect_regimes(returns_of(spark, sf_dir))
+
+
+def _sampled(kind: str, fit: dict | None = None, sample: dict | None = None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return G.sample(G.fit(src.all_series(spark, sf_dir), kind, fit), 150, n_seeds=2, options=sample)
+
+    return run
+
+
+for _name, _args in {
+    "hmm_ar_sample": ("hmm_ar", {"k": 3}), "hmm_garch_sample": ("hmm_garch", {"k": 3}), "hybrid_bootstrap": ("hybrid", {"k": 3}), "hybrid_crossfade": ("hybrid", {"k": 3}, {"stitch": "crossfade"}), "hybrid_bridge": ("hybrid", {"k": 3}, {"stitch": "bridge"}),
+    "hybrid_segments": ("hybrid", {"k": 3}, {"stitch": "segments"}), "regime_gan_sample": ("regime_gan", {"epochs": 4}), "vae_gan_sample": ("vae_gan", {"epochs": 3}), "vae_sample": ("vae", {"epochs": 3}), "gan_sample": ("gan", {"epochs": 3}), "timegan_sample": ("timegan", {"epochs": 1}),
+}.items():
+    QUERIES[_name] = _sampled(*_args)
+
+
+def _parts(spark, sf_dir):
+    px = src.with_split(src.all_series(spark, sf_dir)).where("series_id = 'orders'")
+    return [px.where(f"split = {k}").select("series_id", "seq", "ts", "typical_price") for k in range(1, 7)]
+
+
+@query()
+def walk_prices(spark, sf_dir):
+    return G.walk_prices(G.markov_walk(_states(spark, sf_dir), 60, n_seeds=2), src.all_series(spark, sf_dir))
+
+
+@query()
+def predictive_report(spark, sf_dir):
+    _, _, d3, d4, d5, d6 = _parts(spark, sf_dir)
+    return evaluate.predictive(d4, d5, d6, d3, window=12, epochs=2)
+
+
+@query()
+def augmentation_report(spark, sf_dir):
+    _, _, d3, d4, d5, d6 = _parts(spark, sf_dir)
+    return evaluate.augmentation(d4, d5, d6, d3, window=12, epochs=2)
+
+
+@query()
+def random_sweep(spark, sf_dir):
+    d = _parts(spark, sf_dir)
+    return search.random_sweep(spark, d[0].unionByName(d[1]).unionByName(d[2]), d[4], n=12, n_seeds=2).drop("wall_s")
+
+
+@query()
+def grid_sweep(spark, sf_dir):
+    d = _parts(spark, sf_dir)
+    return search.grid_sweep(spark, d[0].unionByName(d[1]), d[4], {"k": [3, 4], "block": [15, 30], "scale": [0.8, 1.0]}, 3).drop("wall_s")
