@@ -168,19 +168,31 @@ def test_sentencepiece_on_odd_texts():
     agenda = sentencepiece_bpe.Agenda(piece_model())
     rnd = random.Random(1)
     alphabet = [*" ▁▁  ab\n\t\x00é😀中ﬁ<s>/0<0x41>thexyz� ", "the", " the", "  ", "thetheand" * 3]
-    for _ in range(2000):
-        text = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))
-        ids, _ = agenda.encode(text)
-        assert ids == agenda.library.encode(text, add_eos=True)
-        assert agenda.decode(ids) == agenda.library.decode(ids)
-        agenda.check([text])
+    for _ in range(40):
+        texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(50)]
+        for text, (said, decoded) in zip(texts, agenda.encode(texts)):
+            ids = agenda.library.encode(text, add_eos=True)
+            assert said == " ".join(map(str, ids))
+            assert decoded == agenda.decode(ids) == agenda.library.decode(ids)
+        agenda.check(texts)
     long = "thequickbrown" * 3000
-    assert agenda.encode(long)[0] == agenda.library.encode(long, add_eos=True)
+    assert agenda.merged([long])[0] == agenda.merged_long(long)
+    assert agenda.encode([long])[0][0] == " ".join(map(str, agenda.library.encode(long, add_eos=True)))
     for _ in range(500):
         ids = [rnd.choice([*(3 + x for x in b"a\n\xc3\xa9\xf0\x9f"), 1, 2, 0, 300, 259, 29871]) for _ in range(8)]
         assert agenda.decode(ids) == agenda.library.decode(ids)
 
 
+def test_sentencepiece_forgets(monkeypatch):
+    monkeypatch.setattr(sentencepiece_bpe, "CHUNKS", 3)
+    agenda = sentencepiece_bpe.Agenda(piece_model())
+    for k in range(30):
+        text = f"some {k} words {k % 7} again"
+        assert agenda.encode([text, text])[1][0] == " ".join(map(str, agenda.library.encode(text, add_eos=True)))
+        assert len(agenda.known) <= 12
+        agenda.check([text])
+
+
 def test_sentencepiece_edges(spark, odd, empty):
     rows = sentencepiece_bpe.encode_texts(odd, piece_model(), keep_ids=True, check_all=True).collect()
     assert len(rows) == len(ODD)
