@@ -48,6 +48,24 @@ def leverage(r: DataFrame, lag: int = 1, by: Sequence[str] = BY) -> DataFrame:
     return df.groupBy(*by).agg(F.when(F.count("*") > lag, F.corr("ret", "_later")).otherwise(0.0).alias("leverage"))
 
 
+def return_statistics(r: DataFrame, by: Sequence[str] = BY, lags: Sequence[int] = (1, 5, 10, 24)) -> DataFrame:
+    """moments, autocorrelation, vc_lag1 and leverage of one pass: one window sort and one aggregate."""
+    w, x = ordered(by), F.col("ret")
+    df = r.select(*by, "ret", F.abs(x).alias("_a"), F.lag(F.abs(x)).over(w).alias("_a1"), F.lead(F.abs(x)).over(w).alias("_next"), *(F.lag(x, k).over(w).alias(f"_x{k}") for k in lags))
+    n = F.count("*")
+    return df.groupBy(*by).agg(
+        *(c.alias(k) for k, c in moment_columns().items()), *(F.when(n > k, F.corr(f"_x{k}", "ret")).otherwise(0.0).alias(f"ac_lag{k}") for k in lags),
+        F.when(n > 1, F.corr("_a1", "_a")).otherwise(0.0).alias("vc_lag1"), F.when(n > 1, F.corr("ret", "_next")).otherwise(0.0).alias("leverage"),
+    )
+
+
+def price_statistics(px: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """max_drawdown and span of one pass."""
+    peak = F.max("typical_price").over(ordered(by).rowsBetween(Window.unboundedPreceding, 0))
+    dd = px.withColumn("_dd", (F.col("typical_price") - peak) / peak)
+    return dd.groupBy(*by).agg(F.min("_dd").alias("max_drawdown"), (F.max("typical_price") - F.min("typical_price")).alias("span"))
+
+
 def histogram(pair: DataFrame, bins: int, key: Sequence[str] = BY) -> DataFrame:
     """key, side, bin, n, density over the range that both sides share; empty bins are left out."""
     w = Window.partitionBy(*key)
@@ -235,9 +253,8 @@ def distribution_report(pair_px: DataFrame, key: Sequence[str] = BY, with_adf: b
     """pair_px (series_id, side, seq, typical_price) -> the distribution evaluator's fields."""
     by = [*key, "side"]
     r = log_returns(pair_px, by)
-    base = sides(moments(r, by), ["mean", "std"], key)
-    ac = sides(autocorrelation(r, (1, 5, 10), by), [f"ac_lag{k}" for k in (1, 5, 10)], key)
-    out = base.join(ac, list(key)).join(js_divergence(r, 100, key), list(key)).join(distances(r, key), list(key))
+    base = sides(return_statistics(r, by, (1, 5, 10)), ["mean", "std", *(f"ac_lag{k}" for k in (1, 5, 10))], key)
+    out = base.join(js_divergence(r, 100, key), list(key)).join(distances(r, key), list(key))
     if with_adf:
         out = out.join(sides(adf(r, by), ["adf_pvalue"], key), list(key))
     name = {"real": "real", "synth": "synthetic"}
@@ -254,14 +271,9 @@ def metric_record(pair_px: DataFrame, key: Sequence[str] = BY, with_spectrum: bo
     """All metrics of the comparison of two series, one row for each key."""
     by, k = [*key, "side"], list(key)
     r = log_returns(pair_px, by, C.FLOOR)
-    out = sides(moments(r, by), ["mean", "std", "skew", "kurt", "n"], key)
-    out = out.join(sides(autocorrelation(r, (1, 5, 10, 24), by), [f"ac_lag{x}" for x in (1, 5, 10, 24)], key), k)
-    out = out.join(sides(autocorrelation(r, (1,), by, absolute=True, prefix="vc"), ["vc_lag1"], key), k)
-    out = out.join(sides(leverage(r, 1, by), ["leverage"], key), k)
+    out = sides(return_statistics(r, by), ["mean", "std", "skew", "kurt", "n", *(f"ac_lag{x}" for x in (1, 5, 10, 24)), "vc_lag1", "leverage"], key)
     out = out.join(js_divergence(r, 99, key).select(*k, "js_distance"), k).join(distances(r, key), k)
-    out = out.join(sides(hurst(pair_px, by), ["hurst"], key), k).join(sides(max_drawdown(pair_px, by), ["max_drawdown"], key), k)
-    span = pair_px.groupBy(*by).agg((F.max("typical_price") - F.min("typical_price")).alias("span"))
-    out = out.join(sides(span, ["span"], key), k)
+    out = out.join(sides(hurst(pair_px, by), ["hurst"], key), k).join(sides(price_statistics(pair_px, by), ["max_drawdown", "span"], key), k)
     if with_spectrum:
         out = out.join(spectral_distance(r, key), k)
     s, t = (lambda c: F.col(f"synth_{c}")), (lambda c: F.col(f"real_{c}"))
