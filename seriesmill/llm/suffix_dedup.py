@@ -99,35 +99,39 @@ JUDGED = "text1 long, text2 long, place long, rank int"
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors with their names; of those with one name in this task the first is sent on, as met twice."""
-    seen: dict[tuple[int, int], int] = {}
-    for batch in batches:
-        t1, t2 = (batch.column(i).to_pylist() for i in (0, 1))
-        out: list[list] = []
-        for a, b, text in zip(t1, t2, batch.column(2)):
-            data = text.as_buffer().to_pybytes()
-            for places, grams, lows, highs in anchors(data):
-                for place, gram, low, high in zip(places.tolist(), grams.view("i8").tolist(), lows.tolist(), highs.tolist()):
-                    name = _digest(data[place - high : place - low + SPAN]) ^ (low << 8 | high)
-                    name = name - (1 << 64) if name >> 63 else name
-                    row = [gram, name, a, b, _pack(place, low, high), 2]
-                    if (old := seen.get((gram, name))) is not None:
-                        if old >= 0:
-                            out[old][5] = 3
-                        if old >= 0:  # the first of this batch speaks for it; any key will do, so that these rows spread
-                            row[0], row[5] = name ^ a ^ row[4] * 0x9E3779B1, 0
-                        else:
-                            row[5] = 3
+    """Anchors with their names. Of a name that a task meets twice, the second row or the first says so, and all later ones are settled."""
+    seen: dict[tuple[int, int], int] = {}  # place among the rows not sent yet, SENT, or TWICE
+    sent, twice = -1, -2
+    for whole in batches:
+        for start in range(0, len(whole), 512):
+            batch = whole.slice(start, 512)
+            out: list[list] = []
+            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                data = text.as_buffer().to_pybytes()
+                for places, grams, lows, highs in anchors(data):
+                    for place, gram, low, high in zip(places.tolist(), grams.view("i8").tolist(), lows.tolist(), highs.tolist()):
+                        name = _digest(data[place - high : place - low + SPAN]) ^ (low << 8 | high)
+                        name = name - (1 << 64) if name >> 63 else name
+                        row = [gram, name, a, b, _pack(place, low, high), 2]
+                        old = seen.get((gram, name))
+                        if old is None:
                             seen[gram, name] = len(out)
-                    else:
-                        seen[gram, name] = len(out)
-                    out.append(row)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int32() if k == 5 else pa.int64()) for k in range(6)], names=_NAMES)
-        if len(seen) > COMBINED:
-            seen.clear()
-        else:
-            seen = dict.fromkeys(seen, -1)
+                        elif old == sent:
+                            row[5] = 3
+                            seen[gram, name] = twice
+                        else:
+                            if old >= 0:
+                                out[old][5] = 3
+                                seen[gram, name] = twice
+                            row[0], row[5] = name ^ a ^ row[4], 0  # any key will do, so that these rows spread
+                        out.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int32() if k == 5 else pa.int64()) for k in range(6)], names=_NAMES)
+            if len(seen) > COMBINED:
+                seen.clear()
+            for key in [(r[0], r[1]) for r in out if r[5] == 2]:
+                if seen.get(key, twice) >= 0:
+                    seen[key] = sent
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +242,8 @@ def text_key(text: Column) -> list[Column]:
 
 
 def covered_starts(texts: DataFrame) -> DataFrame:
-    """texts (text1, text2, text) -> text1, text2, place: packed runs of starts whose SPAN bytes are found elsewhere."""
-    long = texts.where(F.octet_length("text") >= SPAN).select("text1", "text2", F.col("text").cast("binary").alias("text"))
+    """texts (text1, text2, text binary) -> text1, text2, place: packed runs of starts whose SPAN bytes are found elsewhere."""
+    long = texts.where(F.octet_length("text") >= SPAN).select("text1", "text2", "text")
     place = ["text1", "text2", "place"]
     names = cut(_judged(long.mapInArrow(_sample, ROW)))
     found = names.where("rank = 0").select(*place)
@@ -272,9 +276,9 @@ def removed_runs(size: int, places: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _with_runs(docs: DataFrame) -> DataFrame:
-    """docs with text1, text2 and places (null: none)."""
-    keyed = docs.select("*", *text_key(F.coalesce("text", F.lit(""))))
-    found = covered_starts(keyed.select("text1", "text2", F.coalesce("text", F.lit("")).alias("text")))
+    """docs (doc_id, text) with the text as bytes, text1, text2 and places (null: none)."""
+    keyed = docs.select("doc_id", *text_key(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    found = covered_starts(keyed.select("text1", "text2", "text"))
     places = found.groupBy("text1", "text2").agg(F.collect_set("place").alias("places"))
     return keyed.join(places, ["text1", "text2"], "left")
 
@@ -285,8 +289,8 @@ def _mapped(docs: DataFrame, schema: str, make: Callable[[bytes, list[tuple[int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2)):
-                data = (text or "").encode("utf-8", "surrogatepass")
+            for text, places in zip(batch.column(1), batch.column(2)):
+                data = text.as_buffer().to_pybytes()
                 rows.append(make(data, removed_runs(len(data), places.values.to_numpy()) if places.is_valid else []))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=names)
 
