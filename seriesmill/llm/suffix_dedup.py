@@ -26,7 +26,7 @@ over all bytes are not sorted, with figures.
 
 Defined results: a null text counts as empty; a text of fewer than SPAN bytes loses
 nothing; repeated rows are repeated texts and lose all they can; an empty table gives
-no rows; `remove_repeats` keeps all columns of the input.
+no rows; columns of the input other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +37,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import cut
+from seriesmill.llm.common import cut_table
 
 SPAN, K, CELL = 200, 16, 16
 #: Starts of a text that are scanned at a time, and names that a task combines before it lets them go.
@@ -180,16 +181,24 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from judge(rest, 0)
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, compressed: they move between executors."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = pa.array([packer.compress(x.as_buffer()) if x.is_valid and len(x.as_buffer()) else b"" for x in batch.column(batch.num_columns - 1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
+
+
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text1, text2, text, places, ranks) -> an anchor's own bytes. Of equal texts that follow each other the first will do."""
-    last = None
+    last, opener = None, zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
         for a, b, text, places, ranks in zip(*(c.to_pylist() if i != 2 else c for i, c in enumerate(batch.columns))):
             if (a, b) == last:
                 continue
             last = a, b
-            data = text.as_buffer().to_pybytes()
+            data = opener.decompress(text.as_buffer())
             for where, rank in zip(places, ranks):
                 place, low, high = where >> 16, where >> 8 & 255, where & 255
                 out.append((a, b, where, rank, data[place - high : place - low + SPAN]))
@@ -241,17 +250,21 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("text1"), F.crc32(text).alias("text2")]
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    return texts.mapInArrow(_pack_texts, texts.schema)
+
+
 def covered_starts(texts: DataFrame) -> DataFrame:
     """texts (text1, text2, text binary) -> text1, text2, place: packed runs of starts whose SPAN bytes are found elsewhere."""
     long = texts.where(F.octet_length("text") >= SPAN).select("text1", "text2", "text")
     place = ["text1", "text2", "place"]
-    names = cut(_judged(long.mapInArrow(_sample, ROW)))
+    names = cut_table(_judged(long.mapInArrow(_sample, ROW)))
     found = names.where("rank = 0").select(*place)
     # A text with several rows has each anchor several times; its bytes are wanted once.
     wanted = names.where("rank > 0").groupBy(*place).agg(F.max("rank").alias("rank")).groupBy("text1", "text2").agg(F.collect_list("place").alias("places"), F.collect_list("rank").alias("ranks"))
-    own = long.join(wanted, ["text1", "text2"]).select("text1", "text2", "text", "places", "ranks").mapInArrow(_regions, "text1 long, text2 long, place long, rank int, own binary")
-    own = cut(own.dropDuplicates(place))
-    cells = cut(_judged(own.mapInArrow(_cells, ROW)))
+    own = packed(long).join(wanted, ["text1", "text2"]).select("text1", "text2", "text", "places", "ranks").mapInArrow(_regions, "text1 long, text2 long, place long, rank int, own binary")
+    own = cut_table(own.dropDuplicates(place))
+    cells = cut_table(_judged(own.mapInArrow(_cells, ROW)))
     found = found.unionByName(cells.where("rank = 0").select(*place))
     anchor = F.shiftright("place", 16)
     left = cells.where("rank > 0").groupBy("text1", "text2", anchor.alias("at")).agg(F.collect_list("place").alias("places"), F.collect_list("rank").alias("ranks"))
@@ -259,7 +272,7 @@ def covered_starts(texts: DataFrame) -> DataFrame:
     # Where a block of starts ends, two runs of starts may have one anchor: each takes the cells of its own.
     inside = F.filter(F.arrays_zip("places", "ranks"), lambda x: (F.shiftright(x["places"], 8).bitwiseAND(F.lit(255)) >= F.shiftright("whole", 8).bitwiseAND(F.lit(255))) & (x["places"].bitwiseAND(F.lit(255)) <= F.col("whole").bitwiseAND(F.lit(255))))
     each = whole.join(left, ["text1", "text2", "at"]).select("text1", "text2", "whole", "own", inside.alias("in")).select("text1", "text2", "whole", "own", F.col("in.places"), F.col("in.ranks"))
-    singles = cut(_judged(each.mapInArrow(_starts, ROW)).where("rank = 0"))
+    singles = cut_table(_judged(each.mapInArrow(_starts, ROW)).where("rank = 0"))
     return found.unionByName(singles.select(*place))
 
 
@@ -276,21 +289,22 @@ def removed_runs(size: int, places: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _with_runs(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the text as bytes, text1, text2 and places (null: none)."""
+    """docs (doc_id, text) with the text packed, text1, text2 and places (null: none)."""
     keyed = docs.select("doc_id", *text_key(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     found = covered_starts(keyed.select("text1", "text2", "text"))
     places = found.groupBy("text1", "text2").agg(F.collect_set("place").alias("places"))
-    return keyed.join(places, ["text1", "text2"], "left")
+    return packed(keyed).join(places, ["text1", "text2"], "left")
 
 
 def _mapped(docs: DataFrame, schema: str, make: Callable[[bytes, list[tuple[int, int]]], tuple], kinds: list[pa.DataType]) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
             for text, places in zip(batch.column(1), batch.column(2)):
-                data = text.as_buffer().to_pybytes()
+                data = opener.decompress(text.as_buffer()) if len(text.as_buffer()) else b""
                 rows.append(make(data, removed_runs(len(data), places.values.to_numpy()) if places.is_valid else []))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=names)
 
