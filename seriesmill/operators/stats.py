@@ -111,6 +111,13 @@ def distances(pair: DataFrame, key: Sequence[str] = BY) -> DataFrame:
     return _ecdf(pair, key).groupBy(*key).agg(F.sum(gap * F.col("step")).alias("wasserstein"), F.max(gap).alias("ks"))
 
 
+def ks_pvalue_of(ks: Column, n: Column, m: Column) -> Column:
+    """Asymptotic (Kolmogorov's series of 100 terms), as a column."""
+    x = ks * F.sqrt(n * m / (n + m))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x))
+    return F.when(x < 0.2, 1.0).otherwise(C.clip(2 * total, 0.0, 1.0))
+
+
 def ks_pvalue(ks: float, n: int, m: int) -> float:
     """Asymptotic (Kolmogorov's series)."""
     x = ks * np.sqrt(n * m / (n + m))
@@ -279,7 +286,7 @@ def metric_record(pair_px: DataFrame, key: Sequence[str] = BY, with_spectrum: bo
     s, t = (lambda c: F.col(f"synth_{c}")), (lambda c: F.col(f"real_{c}"))
     fields = {
         "mean_ratio": C.guarded_ratio(s("mean"), t("mean"), 1e-10), "std_ratio": s("std") / t("std"), "skew_real": t("skew"), "skew_synth": s("skew"), "skew_diff": F.abs(s("skew") - t("skew")),
-        "kurt_real": t("kurt"), "kurt_synth": s("kurt"), "kurt_diff": F.abs(s("kurt") - t("kurt")), "ks_statistic": F.col("ks"), "js_divergence": F.col("js_distance"), "wasserstein": F.col("wasserstein"),
+        "kurt_real": t("kurt"), "kurt_synth": s("kurt"), "kurt_diff": F.abs(s("kurt") - t("kurt")), "ks_statistic": F.col("ks"), "ks_pvalue": ks_pvalue_of(F.col("ks"), t("n").cast("double"), s("n").cast("double")), "js_divergence": F.col("js_distance"), "wasserstein": F.col("wasserstein"),
         "ac_lag1_real": t("ac_lag1"), "ac_lag1_synth": s("ac_lag1"), **{f"ac_lag{x}_ratio": C.guarded_ratio(s(f"ac_lag{x}"), t(f"ac_lag{x}")) for x in (1, 5, 10, 24)},
         "vol_cluster_real": t("vc_lag1"), "vol_cluster_synth": s("vc_lag1"), "vol_cluster_ratio": C.guarded_ratio(s("vc_lag1"), t("vc_lag1")), "leverage_real": t("leverage"), "leverage_synth": s("leverage"),
         "hurst_real": t("hurst"), "hurst_synth": s("hurst"), "hurst_diff": F.abs(s("hurst") - t("hurst")), "max_dd_real": t("max_drawdown"), "max_dd_synth": s("max_drawdown"), "price_range_ratio": s("span") / t("span"),

@@ -400,7 +400,7 @@ two AS (SELECT r.series_id, r.dd AS r_dd, s.dd AS s_dd, r.span AS r_span, s.span
 rec AS (SELECT *, sqrt(js) AS jsd FROM one JOIN two USING (series_id) JOIN js99 USING (series_id) JOIN dist USING (series_id) JOIN spec USING (series_id))"""
 _FIELDS = {
     "mean_ratio": _g("s_mean", "r_mean", "1e-10"), "std_ratio": "s_std / r_std", "skew_real": "r_skew", "skew_synth": "s_skew", "skew_diff": "abs(s_skew - r_skew)", "kurt_real": "r_kurt", "kurt_synth": "s_kurt", "kurt_diff": "abs(s_kurt - r_kurt)",
-    "ks_statistic": "ks", "js_divergence": "jsd", "wasserstein": "wasserstein", "ac_lag1_real": "r_ac1", "ac_lag1_synth": "s_ac1", **{f"ac_lag{k}_ratio": _g(f"s_ac{k}", f"r_ac{k}") for k in (1, 5, 10, 24)},
+    "ks_statistic": "ks", "ks_pvalue": "CASE WHEN ks * sqrt(r_n * s_n / (r_n + s_n)) < 0.2 THEN 1.0 ELSE greatest(0, least(1, 2 * list_sum([(CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * exp(-2.0::DOUBLE * k * k * ks * ks * r_n * s_n / (r_n + s_n)) for k in range(1, 101)]))) END", "js_divergence": "jsd", "wasserstein": "wasserstein", "ac_lag1_real": "r_ac1", "ac_lag1_synth": "s_ac1", **{f"ac_lag{k}_ratio": _g(f"s_ac{k}", f"r_ac{k}") for k in (1, 5, 10, 24)},
     "vol_cluster_real": "r_vc", "vol_cluster_synth": "s_vc", "vol_cluster_ratio": _g("s_vc", "r_vc"), "leverage_real": "r_lev", "leverage_synth": "s_lev", "hurst_real": "r_hurst", "hurst_synth": "s_hurst", "hurst_diff": "abs(s_hurst - r_hurst)",
     "max_dd_real": "r_dd", "max_dd_synth": "s_dd", "price_range_ratio": "s_span / r_span", "spectral_distance": "spectral",
 }
