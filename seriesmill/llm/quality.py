@@ -3,8 +3,8 @@
 Viterbi decoding gives the best labelling of a document's lines; the share of its
 words that lie in content lines decides whether the document stays. Weights are
 fitted on a bounded sample of labelled documents (TRAIN_DOCS rows of `labels`,
-those with the smallest hash of doc_id, whole texts); without any labelled document
-of both kinds the fixed weights of PRIOR are used.
+those with the smallest hash of doc_id, whole texts) that the base rules let pass;
+without labelled documents of both kinds the fixed weights of PRIOR are used.
 
 Defined results: a null text has no words and fails the base rules; rows are judged
 one by one, so repeated rows get equal verdicts; columns of the input other than
@@ -177,7 +177,8 @@ def trained_model(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DO
     """Fitted on at most `train_docs` labelled documents; the sample depends on their ids only."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("_q")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_q").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return fit([(r.text or "", int(r["_q"])) for r in rows])
+    # The base rules see to short and repetitive texts, whose lines may be good prose: they would teach the wrong thing.
+    return fit([(r.text or "", int(r["_q"])) for r in rows if not failed(base_counts(r.text or ""))])
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -209,12 +210,17 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated
 
 
+def failed(counts: tuple[int, int, int, int, int]) -> bool:
+    """By the base rules."""
+    return counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEATED * counts[0]
+
+
 def judge(model: Model, text: str | None, share: float = CONTENT_SHARE) -> tuple:
     n, chars, symbols, dup, repeated = base_counts(text or "")
-    failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED * n
+    fails = failed((n, chars, symbols, dup, repeated))
     on, words = line_features(text or "")
     content = float((viterbi(model, on) * words).sum() / words.sum()) if len(words) else 0.0
-    return n, chars, symbols, dup, repeated, failed, content, not failed and content >= share
+    return n, chars, symbols, dup, repeated, fails, content, not fails and content >= share
 
 
 def assess(docs: DataFrame, model: Model, share: float = CONTENT_SHARE) -> DataFrame:
