@@ -107,11 +107,11 @@ def check_long_enough(df: DataFrame, width: int, by: Sequence[str] = BY, what: s
         raise ValueError(f"Data length {short['n'] if short else 0} < {what} {width}")
 
 
-def supervised_windows(df: DataFrame, column: str, width: int, horizons: Sequence[int], by: Sequence[str] = BY) -> DataFrame:
+def supervised_windows(df: DataFrame, column: str, width: int, horizons: Sequence[int], by: Sequence[str] = BY, carry: Sequence[str] = ()) -> DataFrame:
     """x and, for each horizon h, y_h = the value h rows after the window; rows without the furthest are dropped."""
     ahead = {f"y_{h}": F.lead(column, h).over(ordered(by)) for h in horizons}
     with_y = df.withColumns(ahead)
-    return sliding_windows(with_y, column, width, by, list(ahead)).where(F.col(f"y_{max(horizons)}").isNotNull())
+    return sliding_windows(with_y, column, width, by, [*ahead, *carry]).where(F.col(f"y_{max(horizons)}").isNotNull())
 
 
 def strided_windows(df: DataFrame, column: str, width: int, stride: int | None = None, least: int = 4, by: Sequence[str] = BY) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
@@ -17,14 +18,19 @@ from seriesmill.sources import series as src
 MAES = ("train", "val", "test")
 
 
-def predictor_errors(arms: DataFrame, window: int = 24, horizon: int = 1, epochs: int = 5, batch: int = 64, seed: int = 0) -> DataFrame:
-    """arms (arm, role, seq, typical_price; role train, val or test) -> arm, mae_train, mae_val, mae_test, n_train, error: a predictor for each arm, in parallel."""
+def predictor_errors(arms: DataFrame, window: int = 24, horizon: int = 1, epochs: int = 5, batch: int = 64, seed: int = 0, predictor: Callable[..., dict[str, float]] | None = None) -> DataFrame:
+    """arms (arm, role, seq, typical_price; role train, val or test) -> arm, mae_train, mae_val, mae_test, n_train, error: a predictor for each arm, in parallel.
+
+    predictor takes the place of the built-in one: (train array, {role: array}, window,
+    horizon, epochs, batch, seed=) -> {role: mean absolute error}.
+    """
+    learn = predictor or neural.train_predictor
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = {k: g.sort_values("seq")["typical_price"].to_numpy(float) for k, g in pdf.groupby("role")}
         errors, why = {}, None
         try:
-            errors = neural.train_predictor(parts["train"], {k: v for k, v in parts.items() if k != "train"}, window, horizon, epochs, batch, seed=seed)
+            errors = learn(parts["train"], {k: v for k, v in parts.items() if k != "train"}, window, horizon, epochs, batch, seed=seed)
         except Exception as e:  # an arm that fails is a row
             why = f"{type(e).__name__}: {e}"
         return pd.DataFrame([[pdf["arm"].iloc[0], *(errors.get(k) for k in MAES), len(parts.get("train", ())), why]], columns=["arm", *(f"mae_{k}" for k in MAES), "n_train", "error"])
@@ -45,10 +51,10 @@ def _side(errors: DataFrame) -> DataFrame:
     return errors.groupBy().agg(*(F.max(F.when(F.col("arm") == a, F.col(c))).alias(f"{a}_{c}") for a in ("baseline", "augmented") for c in (*(f"mae_{k}" for k in MAES), "n_train")))
 
 
-def predictive(train: DataFrame, val: DataFrame, test: DataFrame, synthetic: DataFrame, window: int = 24, horizon: int = 1, epochs: int = 5, batch: int = 64) -> DataFrame:
+def predictive(train: DataFrame, val: DataFrame, test: DataFrame, synthetic: DataFrame, window: int = 24, horizon: int = 1, epochs: int = 5, batch: int = 64, predictor: Callable[..., dict[str, float]] | None = None) -> DataFrame:
     """One row: errors on real data and with synthetic data before it, their differences (negative: it helps), and the distribution report."""
     arms = _arms(train, S.prepend(synthetic, train), val, test)
-    one = _side(predictor_errors(arms, window, horizon, epochs, batch))
+    one = _side(predictor_errors(arms, window, horizon, epochs, batch, predictor=predictor))
     b, a = (lambda k: F.col(f"baseline_mae_{k}")), (lambda k: F.col(f"augmented_mae_{k}"))
     delta = {k: a(k) - b(k) for k in ("val", "test")}
     fields = [

@@ -13,7 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions import columns as C
@@ -193,6 +193,52 @@ def random_sweep(spark: SparkSession, fit_px: DataFrame, real_px: DataFrame, n:
     return evaluate(configs_frame(spark, random_configs(RANDOM_GRID, n, seed, DEFAULT_HYBRID)), fit_px, real_px, "hybrid", n_seeds)
 
 
+def generator_samples(fit_px: DataFrame, real_px: DataFrame, kinds: dict[str, tuple[str, dict[str, Any]]], n_seeds: int = 10) -> DataFrame:
+    """kinds: label -> (fit or "block_bootstrap", options) -> generator, seed, seq, typical_price, as long as the real series and padded with the last price."""
+    n = real_px.count()
+    p0 = real_px.groupBy("series_id").agg(F.min_by("typical_price", "seq").alias("p0"))
+    fit_px, out = fit_px.select("series_id", "seq", "typical_price"), None
+    for label, (kind, options) in kinds.items():
+        if kind == "block_bootstrap":
+            rows = G.block_bootstrap(fit_px, n, n_seeds, options.get("block", 30), 0)
+        else:
+            rows = G.sample(G.fit(fit_px, kind, options), n, n_seeds, 0, p0)
+        rows = rows.select(F.lit(label).alias("generator"), "seed", "seq", "typical_price")
+        out = rows if out is None else out.unionByName(rows)
+    grid = out.select("generator", "seed").distinct().withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    up = Window.partitionBy("generator", "seed").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(out, ["generator", "seed", "seq"], "left").withColumn("typical_price", F.last("typical_price", ignorenulls=True).over(up))
+
+
+def generator_metrics(fit_px: DataFrame, real_px: DataFrame, kinds: dict[str, tuple[str, dict[str, Any]]], n_seeds: int = 10, target: str = "d5") -> DataFrame:
+    """The fact table: one metric record for each generator and seed, against the real series."""
+    key = ["generator", "seed"]
+    synth = generator_samples(fit_px, real_px, kinds, n_seeds).withColumn("side", F.lit("synth"))
+    real = synth.select(*key).distinct().crossJoin(real_px.select((F.row_number().over(Window.partitionBy("series_id").orderBy("seq")) - 1).cast("long").alias("seq"), "typical_price"))  # one series for each of a few keys
+    pair = synth.unionByName(real.withColumn("side", F.lit("real")))
+    return T.metric_record(pair, key).withColumn("target", F.lit(target))
+
+
+def ratio_sweep(train: DataFrame, val: DataFrame, test: DataFrame, fit_px: DataFrame, n_samples: Sequence[int], blocks: Sequence[int], **options: Any) -> DataFrame:
+    """n_samples, block, and the errors of a predictor trained with so many bootstrap rows before the real ones; every point is a group of one job."""
+    from seriesmill.plans.evaluate import predictor_errors
+
+    arms = None
+    for role, df in (("val", val), ("test", test)):
+        part = df.select(F.lit(role).alias("role"), "seq", "typical_price")
+        arms = part if arms is None else arms.unionByName(part)
+    points = [(n, b) for n in n_samples for b in blocks]
+    every = F.array(*(F.lit(f"{n}:{b}") for n, b in points))
+    out = arms.unionByName(train.select(F.lit("train").alias("role"), "seq", "typical_price")).withColumn("arm", F.explode(every))
+    fit_px = fit_px.select("series_id", "seq", "typical_price")
+    for n, b in points:
+        fake = G.block_bootstrap(fit_px, n, 1, b).select(F.lit("train").alias("role"), (F.col("seq") - n).alias("seq"), "typical_price", F.lit(f"{n}:{b}").alias("arm"))  # before the real ones
+        out = out.unionByName(fake)
+    got = predictor_errors(out, **options)
+    part = lambda i: F.element_at(F.split("arm", ":"), i).cast("int")
+    return got.select(part(1).alias("n_samples"), part(2).alias("block"), "mae_train", "mae_val", "mae_test", "error")
+
+
 # Evolution: the driver holds one generation's genes and scores.
 
 

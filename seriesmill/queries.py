@@ -707,3 +707,34 @@ def random_sweep(spark, sf_dir):
 def grid_sweep(spark, sf_dir):
     d = _parts(spark, sf_dir)
     return search.grid_sweep(spark, d[0].unionByName(d[1]), d[4], {"k": [3, 4], "block": [15, 30], "scale": [0.8, 1.0]}, 3).drop("wall_s")
+
+
+KINDS = {"HMM_GARCH": ("hmm_garch", {"k": 3}), "HMM_parametric": ("hmm_ar", {"k": 3}), "Block_bootstrap": ("block_bootstrap", {"block": 30}), "Hybrid": ("hybrid", {"k": 3})}
+
+
+@query()
+def generator_evaluation(spark, sf_dir):
+    """Four generators fitted on d1 to d3 and scored against d5 with three seeds, summarised."""
+    d = _parts(spark, sf_dir)
+    src.metrics_table(search.generator_metrics(d[0].unionByName(d[1]).unionByName(d[2]), d[4], KINDS, 3), "generator_facts")
+    return spark.sql(SUMMARY_VIEW.replace("FROM metrics", "FROM generator_facts"))
+
+
+@query()
+def ratio_sweep(spark, sf_dir):
+    d = _parts(spark, sf_dir)
+    return search.ratio_sweep(d[3], d[4], d[5], d[0].unionByName(d[1]), [60, 120], [10, 20], window=12, epochs=1)
+
+
+@query(f"""{RET}, p AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY seq) - 1 AS k, ret, count(*) OVER (PARTITION BY series_id) AS n FROM ret),
+h AS (SELECT series_id, CASE WHEN k < n // 2 THEN 'a' ELSE 'b' END AS part, k, ret FROM p),
+w AS (SELECT x.series_id, x.part, x.k, y.ret AS y_1 FROM h x JOIN h y ON y.series_id = x.series_id AND y.part = x.part AND y.k = x.k + 5)
+SELECT series_id, part, count(*) AS windows, {R6.format('sum(y_1)')} AS total FROM w GROUP BY 1, 2""")
+def windows_without_seam(spark, sf_dir):
+    """Windows of two sources built apart and joined afterwards."""
+    r = returns_of(spark, sf_dir)
+    n = F.count("*").over(Window.partitionBy("series_id"))
+    k = F.row_number().over(S.ordered()) - 1
+    half = r.withColumn("part", F.when(k < F.floor(n / 2), "a").otherwise("b"))
+    both = [S.supervised_windows(half.where(F.col("part") == p), "ret", 5, [1], carry=["part"]) for p in "ab"]
+    return rounded(both[0].unionByName(both[1]).groupBy("series_id", "part").agg(F.count("*").alias("windows"), F.sum("y_1").alias("total")))
