@@ -17,11 +17,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 #: At most so many labelled documents are fetched to the driver for the fit.
 TRAIN_DOCS = 600
@@ -228,7 +226,7 @@ def assess(docs: DataFrame, model: Model, share: float = CONTENT_SHARE) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [judge(model, x, share) for x in batch.column(1).to_pylist()]
+            rows = [judge(model, x, share) for start in range(0, len(batch), 256) for x in batch.column(1).slice(start, 256).to_pylist()]
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=[x.split()[0] for x in RESULT.split(", ")])
 
@@ -237,8 +235,14 @@ def assess(docs: DataFrame, model: Model, share: float = CONTENT_SHARE) -> DataF
 
 def keep_good(docs: DataFrame, model: Model, share: float = CONTENT_SHARE) -> DataFrame:
     """The documents that pass, with all their columns."""
-    @F.pandas_udf(BooleanType())
-    def passes(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: judge(model, x, share)[-1]).astype(bool)
+    at = docs.columns.index("text")
 
-    return docs.where(passes(F.coalesce("text", F.lit(""))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), 256):
+                batch = whole.slice(start, 256)
+                kept = [judge(model, x, share)[-1] for x in batch.column(at).to_pylist()]
+                if any(kept):
+                    yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -21,12 +21,10 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from seriesmill.llm.common import connected_components, cut
 
@@ -62,13 +60,19 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return texts.map(fingerprint, na_action=None).astype("int64")
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, becomes their fingerprints; a few texts at a time are Python objects."""
+    for batch in batches:
+        fps = np.empty(len(batch), np.int64)
+        for start in range(0, len(batch), 256):
+            texts = batch.column(batch.num_columns - 1).slice(start, 256).to_pylist()
+            fps[start : start + len(texts)] = [fingerprint(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*batch.schema.names[:-1], "fp"])
 
 
-def with_fingerprint(docs: DataFrame, to: str = "fp") -> DataFrame:
-    return docs.withColumn(to, _fingerprints(F.coalesce("text", F.lit(""))))
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, text_hash, fp."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def _forest(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +159,7 @@ def fingerprint_classes(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, text_hash, fp, label, component_id: one row for each row of docs."""
-    fps = cut(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "fp"))
+    fps = cut(fingerprints(docs))
     return fps.join(fingerprint_classes(fps), "fp").select("doc_id", "text_hash", "fp", "label", "component_id")
 
 
