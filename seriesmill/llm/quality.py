@@ -113,7 +113,7 @@ def viterbi(model: Model, on: np.ndarray) -> np.ndarray:
 
 
 def fit(examples: list[tuple[str, int]], steps: int = 120, rate: float = 0.3, l2: float = 1e-3, piece: int = 48) -> Model:
-    """Maximum conditional likelihood by gradient ascent (Adam); a line's label is its document's.
+    """Greatest conditional likelihood by gradient ascent (Adam), drawn to PRIOR, which holds for what the sample lacks; a line's label is its document's.
 
     Documents are cut into pieces of `piece` lines for the forward and backward
     passes; every line counts.
@@ -136,7 +136,7 @@ def fit(examples: list[tuple[str, int]], steps: int = 120, rate: float = 0.3, l2
     y = np.array(labels)
     share = np.array([(y == k).mean() for k in (0, 1)])
     weight = (0.5 / share)[y]  # both kinds count alike
-    emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
+    emit, move = PRIOR.emit.copy(), PRIOR.move.copy()
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in (emit, move)]
     truth = np.zeros((n, 2))
     truth[np.arange(n), y] = 1
@@ -163,8 +163,8 @@ def fit(examples: list[tuple[str, int]], steps: int = 120, rate: float = 0.3, l2
         expected = (np.exp(np.minimum(pair, 0)) * steps_in[:, :, None, None] * weight[:, None, None, None]).sum(axis=(0, 1))
         g_move = np.diag([(steps_in.sum(axis=1) * weight * (y == k)).sum() for k in (0, 1)]) - expected
         lines = mask.sum()
-        for param, grad, (m, v) in zip((emit, move), (g_emit, g_move), moment):
-            grad = grad / lines - l2 * param
+        for param, prior, grad, (m, v) in zip((emit, move), (PRIOR.emit, PRIOR.move), (g_emit, g_move), moment):
+            grad = grad / lines - l2 * (param - prior)
             m += 0.1 * (grad - m)
             v += 0.001 * (grad**2 - v)
             param += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
