@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from seriesmill.llm.common import cut
 
 GRID, STEPS = 32, 7
-ROWS = 20_000
+ROWS = 4_000
 ENTROPY = 0.97
 REPEATS = 4.0
 SEED = 42
