@@ -13,6 +13,9 @@ equal fingerprints are one node, so copies are never expanded into pairs; a null
 doc_id takes part but names a component only if the component has no other;
 repeated rows give repeated rows; other columns of the input are ignored by
 `near_duplicates` and kept by `deduplicate`.
+
+`deduplicate`, the pipeline's stage, has a measure of its own, the Jaccard of 5-word
+shingles (see `similar`).
 """
 
 from __future__ import annotations
@@ -26,12 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import connected_components, cut
+from seriesmill.llm.common import connected_components, cut, cut_table
 
 RADIUS = 2
 SEED = 42
 #: Up to this many members, a bucket is compared in one block; beyond it, by probing.
 BLOCK = 192
+#: `deduplicate`: words in a shingle, the least Jaccard of a link, bands and min-hashes in each.
+WORDS, LIKE, BANDS, ROWS = 5, 0.8, 24, 4
+_FLIP, _MULT = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
 
 def bit_masks() -> list[int]:
@@ -163,14 +169,167 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(fingerprint_classes(fps), "fp").select("doc_id", "text_hash", "fp", "label", "component_id")
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct hashes (ascending) of the WORDS-word shingles of one text; a shorter text is one shingle, one without words has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    own = map(b" ".join, zip(*(words[k:] for k in range(WORDS)))) if len(words) >= WORDS else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(SEED)), np.uint64))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band of ROWS min-hashes."""
+    least = np.full(len(_MULT), np.iinfo(np.uint64).max)
+    for start in range(0, len(own), 1024):
+        x = (own[None, start : start + 1024] ^ _FLIP[:, None]) * _MULT[:, None]
+        x = (x ^ (x >> np.uint64(29))) * _MULT[::-1, None]
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view("i8")
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, text) -> doc_id, text_hash, node (of the set of shingles), band keys."""
+    for batch in batches:
+        for start in range(0, len(batch), 256):
+            part = batch.slice(start, 256)
+            sets = [shingles(t) for t in part.column(2).to_pylist()]
+            node = pa.array([signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets], pa.int64())
+            keys = pa.array([band_keys(s) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), node, keys], names=["doc_id", "text_hash", "node", "keys"])
+
+
+def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, node): (grp, node) of each bucket with two nodes or more; buckets with the same nodes have the same grp."""
+    rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def groups(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
+        grp, out = [], []
+        for k in np.nonzero(np.diff(starts) > 1)[0]:
+            own = node[starts[k] : starts[k + 1]]
+            grp.append(np.full(len(own), signed(xxhash.xxh64_intdigest(own.tobytes())), np.int64))
+            out.append(own)
+        if grp:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grp, out)], names=["grp", "node"])
+
+    for batch in batches:
+        key, node = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(rest))
+        if not len(key):
+            continue
+        end = int(np.searchsorted(key, key[-1]))  # the last bucket may go on in the next batch
+        yield from groups(key[:end], node[:end])
+        rest = key[end:], node[end:]
+    yield from groups(*rest)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two ascending arrays without repeats."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return same / (len(both) - same) if len(both) else 1.0
+
+
+def _like(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect the members of one bucket with a Jaccard of LIKE or more, at most one for each member.
+
+    Members within 1 - LIKE of an earlier leader join its ball, others lead one of their
+    own. The distance is a metric, so a member of a ball whose distance from the leader
+    is less than that of the newcomer by more than 1 - LIKE needs no look.
+    """
+    root, far, balls, links = list(range(len(sets))), 1 - LIKE + 1e-9, [], []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def unite(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((nodes[i], nodes[j]))
+
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        home, n = None, len(sets[i])
+        for ball in balls:
+            if ball[-1][2] < n * LIKE - 1e-9:  # the longest is too short
+                continue
+            lead = ball[0][0]
+            d = 1 - jaccard(sets[i], sets[lead])
+            if d <= far:
+                unite(i, lead)
+                home = home or (ball, d)
+            for j, dj, m in ball[1:]:
+                if find(j) != find(i) and d <= far + dj + 1e-9 and m >= n * LIKE - 1e-9 and 1 - jaccard(sets[i], sets[j]) <= far:
+                    unite(i, j)
+        if home:
+            home[0].append((i, home[1], n))
+        else:
+            balls.append([(i, 0.0, n)])
+    return links
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, node, own) sorted by grp: the links of each group."""
+    now, nodes, sets = None, [], []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if found := _like(nodes, sets):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for start in range(0, len(batch), 512):
+            for grp, node, own in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns)):
+                if grp != now:
+                    yield from close()
+                    now, nodes, sets = grp, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(own, np.uint64))
+    yield from close()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) -> node, own: the hashes of its shingles."""
+    for batch in batches:
+        for start in range(0, len(batch), 256):
+            part = batch.slice(start, 256)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["node", "own"])
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, text_hash, node, label, component_id: groups linked by a Jaccard of LIKE or more of WORDS-word shingles.
+
+    Candidates share a band of min-hashes; each is then checked on the whole sets, which
+    only members of such buckets send, once for all buckets with the same members. A pair
+    at 0.8 exactly shares no band with probability (1 - 0.8**ROWS)**BANDS, 3e-6.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    marked = cut_table(base.mapInArrow(_nodes, "doc_id long, text_hash long, node long, keys array<long>"))
+    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.any_value("keys").alias("keys"))
+    keyed = distinct.select(F.explode("keys").alias("key"), "node")
+    groups = cut_table(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_memberships, "grp long, node long").distinct())
+    needed = groups.select("node").distinct().join(distinct, "node").select("node", "text_hash")
+    own = base.select("text_hash", "text").join(needed, "text_hash").dropDuplicates(["text_hash"]).select("node", "text").mapInArrow(_sets, "node long, own binary")
+    links = groups.join(own, "node").select("grp", "node", "own").repartition("grp").sortWithinPartitions("grp").mapInArrow(_verified, "a long, b long")
+    labels = connected_components(links.distinct()).withColumnRenamed("node", "_node")
+    classes = distinct.join(labels, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    named = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+    return marked.join(classes.join(named, "label").select("node", "label", "component_id"), "node").select("doc_id", "text_hash", "node", "label", "component_id")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; all columns of docs are kept.
+    """One document of each group of `similar` stays, the one with the smallest doc_id; all columns of docs are kept.
 
     Of repeated rows one stays, and of several texts with that doc_id the one with
-    the smallest fingerprint.
+    the smallest node.
     """
     columns = docs.columns
-    own = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = own.groupBy("label").agg(F.min(F.struct("fp", "text_hash", "doc_id")).alias("_stay")).select(F.col("_stay.doc_id").alias("_id"), F.col("_stay.text_hash").alias("_hash"))
+    own = similar(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = own.groupBy("label").agg(F.min(F.struct("node", "text_hash", "doc_id")).alias("_stay")).select(F.col("_stay.doc_id").alias("_id"), F.col("_stay.text_hash").alias("_hash"))
     marked = docs.withColumn("_own", F.xxhash64("text"))
     return marked.join(stay, (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_own", "doc_id"]).select(*columns)
