@@ -169,30 +169,32 @@ def spectral_distance(pair: DataFrame, key: Sequence[str] = BY) -> DataFrame:
     return pair.select(*key, "side", "seq", "ret").groupBy(*key).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in key) + ", spectral double")
 
 
-def mmd(pair: DataFrame, width: int = 10, batch: int = 64, key: Sequence[str] = BY) -> DataFrame:
-    """Squared maximum mean discrepancy (Gaussian kernel) of the first `batch` windows of either side.
+def mmd(pair: DataFrame, width: int = 10, batch: int | None = None, key: Sequence[str] = BY, block: int = 64) -> DataFrame:
+    """Squared maximum mean discrepancy (Gaussian kernel) of all windows of either side, or of the first `batch`.
 
-    gamma = 1 / (mean squared distance among the real ones + 1e-8). A batch bounds the
-    arrays: batch x width values a side.
+    gamma = 1 / (mean squared distance among the real ones + 1e-8). Windows meet in
+    pairs of blocks, whose sums are added up: an array holds block x block distances.
     """
     from seriesmill.operators.series import sliding_windows
 
-    w = sliding_windows(pair, "ret", width, [*key, "side"]).where(F.col("win_idx") < batch)
-    sides = w.groupBy(*key).agg(*(F.collect_list(F.when(F.col("side") == s, F.col("x"))).alias(c) for s, c in (("real", "a"), ("synth", "b"))))
+    key = list(key)
+    w = sliding_windows(pair, "ret", width, [*key, "side"])
+    w = w if batch is None else w.where(F.col("win_idx") < batch)
+    blocks = w.groupBy(*key, "side", F.floor(F.col("win_idx") / block).alias("block")).agg(F.collect_list("x").alias("xs"))
 
     def square(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
 
-    def all_pairs(xs: Column, ys: Column) -> Column:
-        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: square(x, y))))
-
-    def mean(d: Column) -> Column:
-        return F.aggregate(d, F.lit(0.0), lambda s, v: s + v) / F.size(d)
+    def total(d: Column) -> Column:
+        return F.aggregate(d, F.lit(0.0), lambda s, v: s + v)
 
-    d = sides.select(*key, all_pairs(F.col("a"), F.col("a")).alias("aa"), all_pairs(F.col("b"), F.col("b")).alias("bb"), all_pairs(F.col("a"), F.col("b")).alias("ab"))
-    d = d.where((F.size("aa") > 0) & (F.size("bb") > 0)).withColumn("gamma", 1.0 / (mean(F.col("aa")) + 1e-8))
-    kernel = lambda c: mean(F.transform(c, lambda v: F.exp(-F.col("gamma") * v)))
-    return d.select(*key, (kernel("aa") + kernel("bb") - 2 * kernel("ab")).alias("mmd"))
+    left, right = (blocks.select(*key, F.col("side").alias(f"side_{n}"), F.col("block").alias(f"block_{n}"), F.col("xs").alias(n)) for n in "ab")
+    pairs = left.join(right, key).where("side_a = 'real' OR side_b = 'synth'").withColumn("part", F.concat("side_a", "side_b")).repartition(*key, "part", "block_a", "block_b")
+    d = pairs.select(*key, "part", F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: square(x, y)))).alias("d"))
+    gamma = d.where("part = 'realreal'").groupBy(*key).agg((1.0 / (F.sum(total(F.col("d"))) / F.sum(F.size("d")) + 1e-8)).alias("gamma"))
+    sums = d.join(gamma, key).select(*key, "part", F.size("d").alias("n"), total(F.transform("d", lambda v: F.exp(-F.col("gamma") * v))).alias("k"))
+    mean = lambda p: F.sum(F.when(F.col("part") == p, F.col("k"))) / F.sum(F.when(F.col("part") == p, F.col("n")))
+    return sums.groupBy(*key).agg((mean("realreal") + mean("synthsynth") - 2 * mean("realsynth")).alias("mmd")).where("mmd IS NOT NULL")
 
 
 def max_drawdown(px: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -359,6 +359,12 @@ mg AS (SELECT series_id, 1 / (avg(d) + 1e-8) AS gamma FROM md WHERE s = 'real' A
 mk AS (SELECT series_id, s, t, avg(exp(-gamma * d)) AS k FROM md JOIN mg USING (series_id) GROUP BY 1, 2, 3)
 SELECT series_id, {R6.format("sum(CASE WHEN s = t THEN k ELSE -2 * k END)")} AS mmd FROM mk GROUP BY 1""")
 def mmd(spark, sf_dir):
+    """The first 64 windows of either side, as its SQL has it; `mmd_all_windows` takes all."""
+    return rounded(T.mmd(pair_returns(spark, sf_dir), batch=64))
+
+
+@query(ORACLE["mmd"].removeprefix("WITH ").replace(" AND a.k < 64", ""))
+def mmd_all_windows(spark, sf_dir):
     return rounded(T.mmd(pair_returns(spark, sf_dir)))
 
 
