@@ -1,6 +1,8 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates, with DataFrame functions only.
 
-A unit is a line of a text, or (line -1) the text as a whole. It is normalised to
+A unit is a line of a text, or (line -1) the text as a whole, or else, for notices that
+are wrapped or stand within a line, a window of consecutive words outside those hits
+(under the line of its first word). It is normalised to
 lower-case ASCII words, and its distinct bigrams A are compared with the bigrams B of
 a template: 2|A n B| / (|A| + |B|) of at least DICE is a hit. Two exact bounds prune:
 |A| must lie between |B| * DICE / (2 - DICE) and |B| * (2 - DICE) / DICE, and as a hit
@@ -16,6 +18,7 @@ repeated rows; an empty table gives none; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,15 +97,73 @@ def _gate(text: Column, threshold: float, templates) -> Column:
     return test
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+
+
 def _bigrams(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+    words = _words(text)
     # Each word with the next one.
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
 
 
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _windows(text: Column, found: Column, threshold: float, templates) -> Column:
+    """Hits of windows of consecutive words outside the lines that are hits, without overlap, the best first.
+
+    A window starts and ends with bigrams of the template, as others only lower its
+    coefficient, and a hit has at least |B| * DICE / (2 - DICE) of them in it.
+    """
+    known = F.array(*(F.struct(F.lit(-k).alias("template"), F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(len(b)).alias("n")) for k, (name, t) in enumerate(templates) if (b := bigrams_of(t))))
+    every = F.array(*map(F.lit, dict.fromkeys(b for _, t in templates for b in bigrams_of(t))))
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    taken, whole = F.transform(found, lambda h: h["line"]), F.transform(F.filter(found, lambda h: h["line"] < 0), lambda h: h["license"])
+
+    def lines(taken: Column) -> Column:
+        worded = F.transform(F.split(text, "\n", -1), lambda u, i: F.transform(F.when(F.array_contains(taken, i), F.array(F.lit(""))).otherwise(_words(u)), lambda w: F.struct(w.alias("w"), i.alias("line"))))
+        return F.flatten(worded)
+
+    def paired(words: Column) -> Column:
+        pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.struct(F.concat(a["w"], F.lit(" "), b["w"]).alias("p"), a["line"].alias("line")))
+        return F.filter(pairs, lambda x: x["p"].isNotNull())
+
+    def of_template(t: Column, pairs: Column, marks: Column) -> Column:
+        def from_start(own: Column, m: Column, k: Column) -> Column:
+            near = F.filter(F.slice(own, k + 1, F.floor(t["n"] * high + 1e-9).cast("int")), lambda e: e["at"] - m["at"] + 1 <= t["n"] * high + 1e-9)
+
+            def best(near: Column) -> Column:
+                def scored(e: Column, i: Column) -> Column:
+                    held = F.size(F.array_distinct(F.transform(F.slice(near, 1, i + 1), lambda x: x["p"])))
+                    size = F.size(F.array_distinct(F.transform(F.slice(pairs, m["at"] + 1, e["at"] - m["at"] + 1), lambda x: x["p"])))
+                    return F.struct((2.0 * held / (size + t["n"])).alias("dice"), t["n"].alias("size"), t["template"].alias("template"), (-m["at"]).alias("start"), e["at"].alias("end"), m["line"].alias("line"), t["license"].alias("license"))
+
+                ends = F.filter(F.transform(near, lambda e, i: F.when(i + 1 >= t["n"] * low - 1e-9, scored(e, i))), lambda x: x["dice"] >= threshold - 1e-9)
+                return F.when(F.size(near) >= t["n"] * low - 1e-9, F.array_max(ends))
+
+            return _bound(near, best)
+
+        def starts(own: Column) -> Column:
+            return F.when(F.size(own) >= t["n"] * low - 1e-9, F.filter(F.transform(own, lambda m, k: from_start(own, m, k)), lambda x: x.isNotNull()))
+
+        return _bound(F.filter(marks, lambda m: F.array_contains(t["bigrams"], m["p"])), starts)
+
+    def marked(pairs: Column) -> Column:
+        marks = F.filter(F.transform(pairs, lambda x, i: F.struct(i.alias("at"), x["p"].alias("p"), x["line"].alias("line"))), lambda x: F.array_contains(every, x["p"]))
+        return _bound(marks, lambda marks: F.flatten(F.filter(F.transform(known, lambda t: of_template(t, pairs, marks)), lambda x: x.isNotNull())))
+
+    candidates = F.filter(_bound(_bound(_bound(taken, lines), paired), marked), lambda x: ~F.array_contains(whole, x["license"]))
+    kind = "array<struct<dice:double,size:int,template:int,start:int,end:int,line:int,license:string>>"
+    apart = F.aggregate(F.reverse(F.array_sort(candidates.cast(kind))), F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: (-x["start"] <= y["end"] + 1) & (x["end"] + 1 >= -y["start"])), acc).otherwise(F.array_append(acc, x)))
+    return F.transform(apart, lambda x: F.struct(x["dice"], x["size"], x["template"], x["line"], x["license"]))
+
+
 def hits(text: Column, threshold: float = DICE, templates=TEMPLATES) -> Column:
-    """array<struct<dice, size, template, line, license>>: the best template of each unit that has one, by line."""
+    """array<struct<dice, size, template, line, license>>: the best template of each unit that has one: lines in order, then windows."""
     known = F.array(*(F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(len(b)).alias("n")) for k, (name, t) in enumerate(templates) if (b := bigrams_of(t))))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     kind = "struct<dice:double,size:int,template:int,line:int,license:string>"
@@ -119,6 +180,7 @@ def hits(text: Column, threshold: float = DICE, templates=TEMPLATES) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda u, i: F.struct(i.alias("line"), u.alias("unit"))), lambda x: _gate(x["unit"], threshold, templates))
     units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), text.alias("unit"))), lines)
     found = F.filter(F.transform(units, lambda x: best(x["line"], x["unit"])), lambda h: h.isNotNull())
+    found = _bound(found, lambda found: F.concat(found, F.coalesce(_windows(text, found, threshold, templates), F.array()).cast(f"array<{kind}>")))
     return F.when(_gate(text, threshold, templates), found).otherwise(F.array().cast(f"array<{kind}>"))
 
 
