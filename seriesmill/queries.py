@@ -681,9 +681,15 @@ for _name, _args in {
     QUERIES[_name] = _sampled(*_args)
 
 
-def _parts(spark, sf_dir):
-    px = src.with_split(src.all_series(spark, sf_dir)).where("series_id = 'orders'")
-    return [px.where(f"split = {k}").select("series_id", "seq", "ts", "typical_price") for k in range(1, 7)]
+def _each_series(spark, sf_dir, run: Callable[[list[DataFrame]], DataFrame]) -> DataFrame:
+    """run(parts d1 to d6) for every series, with its series_id; the ids alone come to the driver."""
+    px, out = src.with_split(src.all_series(spark, sf_dir)), None
+    for (name,) in sorted(px.select("series_id").distinct().collect()):
+        own = px.where(F.col("series_id") == name)
+        rows = run([own.where(f"split = {k}").select("series_id", "seq", "ts", "typical_price") for k in range(1, 7)])
+        rows = rows.select(F.lit(name).alias("series_id"), *(c for c in rows.columns if c != "series_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query()
@@ -693,26 +699,22 @@ def walk_prices(spark, sf_dir):
 
 @query()
 def predictive_report(spark, sf_dir):
-    _, _, d3, d4, d5, d6 = _parts(spark, sf_dir)
-    return evaluate.predictive(d4, d5, d6, d3, window=12, epochs=2)
+    return _each_series(spark, sf_dir, lambda d: evaluate.predictive(d[3], d[4], d[5], d[2]))
 
 
 @query()
 def augmentation_report(spark, sf_dir):
-    _, _, d3, d4, d5, d6 = _parts(spark, sf_dir)
-    return evaluate.augmentation(d4, d5, d6, d3, window=12, epochs=2)
+    return _each_series(spark, sf_dir, lambda d: evaluate.augmentation(d[3], d[4], d[5], d[2]))
 
 
 @query()
 def random_sweep(spark, sf_dir):
-    d = _parts(spark, sf_dir)
-    return search.random_sweep(spark, d[0].unionByName(d[1]).unionByName(d[2]), d[4], n=12, n_seeds=2).drop("wall_s")
+    return _each_series(spark, sf_dir, lambda d: search.random_sweep(spark, d[0].unionByName(d[1]).unionByName(d[2]), d[4])).drop("wall_s")
 
 
 @query()
 def grid_sweep(spark, sf_dir):
-    d = _parts(spark, sf_dir)
-    return search.grid_sweep(spark, d[0].unionByName(d[1]), d[4], {"k": [3, 4], "block": [15, 30], "scale": [0.8, 1.0]}, 3).drop("wall_s")
+    return _each_series(spark, sf_dir, lambda d: search.grid_sweep(spark, d[0].unionByName(d[1]), d[4])).drop("wall_s")
 
 
 KINDS = {"HMM_GARCH": ("hmm_garch", {"k": 3}), "HMM_parametric": ("hmm_ar", {"k": 3}), "Block_bootstrap": ("block_bootstrap", {"block": 30}), "Hybrid": ("hybrid", {"k": 3})}
@@ -720,16 +722,14 @@ KINDS = {"HMM_GARCH": ("hmm_garch", {"k": 3}), "HMM_parametric": ("hmm_ar", {"k"
 
 @query()
 def generator_evaluation(spark, sf_dir):
-    """Four generators fitted on d1 to d3 and scored against d5 with three seeds, summarised."""
-    d = _parts(spark, sf_dir)
-    src.metrics_table(search.generator_metrics(d[0].unionByName(d[1]).unionByName(d[2]), d[4], KINDS, 3), "generator_facts")
-    return spark.sql(SUMMARY_VIEW.replace("FROM metrics", "FROM generator_facts"))
+    """Four generators fitted on d1 to d3 and scored against d5 with ten seeds, summarised for each series."""
+    src.metrics_table(_each_series(spark, sf_dir, lambda d: search.generator_metrics(d[0].unionByName(d[1]).unionByName(d[2]), d[4], KINDS)), "generator_facts")
+    return spark.sql(SUMMARY_VIEW.replace("SELECT generator", "SELECT series_id, generator").replace("FROM metrics GROUP BY generator", "FROM generator_facts GROUP BY series_id, generator"))
 
 
 @query()
 def ratio_sweep(spark, sf_dir):
-    d = _parts(spark, sf_dir)
-    return search.ratio_sweep(d[3], d[4], d[5], d[0].unionByName(d[1]), [60, 120], [10, 20], window=12, epochs=1)
+    return _each_series(spark, sf_dir, lambda d: search.ratio_sweep(d[3], d[4], d[5], d[0].unionByName(d[1]), [60, 120], [10, 20]))
 
 
 @query(f"""{RET}, p AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY seq) - 1 AS k, ret, count(*) OVER (PARTITION BY series_id) AS n FROM ret),
