@@ -37,7 +37,7 @@ CARD = r"[0-9](?:\x20?[0-9]|-[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Candidates beyond the base rules.
 EMAIL_SPELT = rf"(?<!{_LOCAL}){_LOCAL}++\x20?[\[(]at[\])]\x20?{_HOST}++(?:\x20?(?:\.|[\[(]dot[\])])\x20?{_HOST}++)++"
-SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}+(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 PHONE_LOCAL = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
@@ -136,7 +136,7 @@ def candidates(text: Column) -> Column:
         return _judged(x, "phone", F.lit(False), digits.rlike("^[2-9][0-9]{2}[2-9]"), x["match"].rlike(r"^\([0-9]{3}\)|-[0-9]{3}-"), False)
 
     def secret(x: Column) -> Column:
-        mixed = x["match"].rlike("[0-9]") & x["match"].rlike("[a-f]")
+        mixed = x["match"].rlike("[0-9]") & x["match"].rlike("[A-Fa-f]")
         return _judged(x, "secret", F.lit(False), mixed, F.length(x["match"]).isin(*SECRET_SIZES), False)
 
     def ssn(x: Column) -> Column:
