@@ -184,7 +184,11 @@ class Agenda:
         """The chunks encoded since the last call, and these texts, against the library."""
         # No merge crosses the end of a chunk, so that the chunks can be checked as one text.
         chunks = [x for x in self.unchecked if x[0][0] == MARK != x[0][-1]]
+        alone = [x for x in self.unchecked if x[0][0] == MARK == x[0][-1]]  # marks alone, of which the next chunk would take some
         self.unchecked.clear()
+        for c, ids in alone:
+            if self.library.encode("a" + c.replace(MARK, " "), num_threads=1) != self.library.encode("a", num_threads=1) + list(ids):
+                raise ValueError(f"the agenda and the sentencepiece library differ on a run of {len(c)} word marks")
         theirs = self.library.encode("".join([c for c, _ in chunks])[1:].replace(MARK, " "), num_threads=1)
         if theirs != [*chain.from_iterable([ids for _, ids in chunks])]:
             raise ValueError(f"the agenda and the sentencepiece library differ on some of {len(chunks)} chunks")
