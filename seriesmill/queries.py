@@ -676,7 +676,7 @@ def _sampled(kind: str, fit: dict | None = None, sample: dict | None = None) ->
 
 for _name, _args in {
     "hmm_ar_sample": ("hmm_ar", {"k": 3}), "hmm_garch_sample": ("hmm_garch", {"k": 3}), "hybrid_bootstrap": ("hybrid", {"k": 3}), "hybrid_crossfade": ("hybrid", {"k": 3}, {"stitch": "crossfade"}), "hybrid_bridge": ("hybrid", {"k": 3}, {"stitch": "bridge"}),
-    "hybrid_segments": ("hybrid", {"k": 3}, {"stitch": "segments"}), "regime_gan_sample": ("regime_gan", {"epochs": 4}), "vae_gan_sample": ("vae_gan", {"epochs": 3}), "vae_sample": ("vae", {"epochs": 3}), "gan_sample": ("gan", {"epochs": 3}), "timegan_sample": ("timegan", {"epochs": 1}),
+    "hybrid_segments": ("hybrid", {"k": 3}, {"stitch": "segments"}), "regime_gan_sample": ("regime_gan",), "vae_gan_sample": ("vae_gan",), "vae_sample": ("vae",), "gan_sample": ("gan",), "timegan_sample": ("timegan", {"epochs": 1}),
 }.items():
     QUERIES[_name] = _sampled(*_args)
 
