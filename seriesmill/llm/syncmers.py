@@ -3,22 +3,31 @@
 A k-mer of the UTF-8 bytes is an anchor if the least of its inner s-mers (by hash)
 is the first or the last of them; whether it is depends on nothing around it, so
 equal passages give equal anchors wherever they stand (Edgar, 2021). A fingerprint
-keeps the SKETCH anchors with the least hashes, in the order of their places. The
-likeness of two fingerprints is the longest run of anchors that both have in the
-same order, among the SKETCH least of their union, as a share of these: a positional
-Jaccard estimate.
+holds every anchor of the text, in the order of their places: 24 bits of its hash, as
+four characters of base64. The likeness of two fingerprints is a positional Jaccard:
+the longest run of anchors that both have in the same order, as a share of all anchors
+of either; the r-th place of an anchor in one text can only match its r-th in the other.
+
+There is no sketch, so the only error is that of 24 bits: two different anchors are
+taken for one with probability 6e-8. In a text of a million characters 0.7 % of the
+anchors have such a namesake, and only those in the same order count. Measured (tests):
+within 0.001 of the likeness of whole k-mers at 10 to 6,000 bytes, within 0.002 of the
+share by construction at 1,000,000.
 
 Defined results: an empty or null text has an empty fingerprint; two empty ones are
 alike to 1, an empty and another to 0; a text without anchors, or shorter than a
 k-mer, is one anchor as a whole; very long texts are scanned in blocks that overlap
-by a k-mer; equal doc_ids follow each other by text, null doc_ids come last; columns
-of the input other than doc_id and text are ignored.
+by a k-mer; equal doc_ids follow each other by the hash of their text, then by text,
+null doc_ids come last, as if they were the least number; repeated rows follow each
+other; an empty table gives no rows; columns of the input other than doc_id and text
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K, S, SKETCH = 24, 8, 64
+K, S = 24, 8
 BLOCK = 1 << 20
+#: Rows that a task remembers, to tell equal ones.
+SEEN = 500_000
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,30 +75,45 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(1, np.int64), np.array([xxhash.xxh64_intdigest(data)], np.uint64)
 
 
-def sketch(data: bytes, size: int = SKETCH) -> np.ndarray:
-    """The upper halves of the least hashes, in the order of their first places."""
-    places, hashes = anchors(data)
-    values, first = np.unique((hashes >> np.uint64(32)).astype(np.uint32), return_index=True)
-    order = np.argsort(places[first[:size]], kind="stable")
-    return values[:size][order]
+def fingerprint(data: bytes) -> np.ndarray:
+    """24 bits of each anchor's hash, in the order of their places."""
+    return (anchors(data)[1] >> np.uint64(40)).astype(np.int64)
+
 
+def _numbered(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of (anchor, how many equal ones stand before it), and these as one number each, ascending."""
+    order = np.argsort(fp, kind="stable")
+    ranked = fp[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    before = np.arange(len(fp)) - np.maximum.accumulate(np.where(first, np.arange(len(fp)), 0))
+    return order, ranked << 32 | before
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+
+def likeness(a: np.ndarray, b: np.ndarray, numbered_a: tuple | None = None, numbered_b: tuple | None = None) -> float:
+    """The longest run of common anchors in the same order, as a share of all anchors of either; what `_numbered` gives can be kept."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)[:size].tolist()
-    place = {x: i for i, x in enumerate(b.tolist())}
-    among = set(union)
-    tails: list[int] = []  # the longest increasing run of places
-    for x in a.tolist():
-        if x in among and (p := place.get(x)) is not None:
+    if len(a) == len(b) and np.array_equal(a, b):
+        return 1.0
+    (order_a, name_a), (order_b, name_b) = numbered_a or _numbered(a), numbered_b or _numbered(b)
+    at = np.minimum(np.searchsorted(name_b, name_a), len(name_b) - 1)
+    common = name_b[at] == name_a
+    place = np.full(len(a), -1, np.int64)
+    place[order_a[common]] = order_b[at[common]]
+    place = place[place >= 0]
+    run = len(place)
+    if np.any(place[1:] < place[:-1]):
+        tails: list[int] = []  # the longest increasing run of places
+        for p in place.tolist():
             k = bisect_left(tails, p)
             tails[k : k + 1] = [p]
-    return len(tails) / len(union)
+        run = len(tails)
+    return run / (len(a) + len(b) - run)
 
 
 def shown(fp: np.ndarray) -> str:
-    return fp.astype(">u4").tobytes().hex()
+    """Four characters of base64 for each anchor."""
+    return base64.b64encode(np.ascontiguousarray(fp.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes()).decode("ascii")
 
 
 def edited(text: str, following: str) -> str:
@@ -99,45 +125,60 @@ def edited(text: str, following: str) -> str:
 def fingerprint_with_neighbours(docs: DataFrame, per_part: int = 2_000) -> DataFrame:
     """docs (doc_id, text) -> RESULT. The following document is the next by descending doc_id, the first after the last.
 
-    Ids alone are range-partitioned to find split points; texts move once, each to
-    the bucket of its id, and the first document of a bucket is also sent to the
-    bucket before, so that every document finds its follower in its own task.
+    Keys (doc_id, hash of the text) alone are range-partitioned to find split points;
+    texts move once, each to the bucket of its key, and the first document of a bucket
+    is also sent to the bucket before, so that every document finds its follower in its
+    own task. All but one of the equal rows of a task follow themselves: they are dealt
+    over all buckets, and a key is in its own bucket once for each task at most.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
+    # Ascending: the complement of doc_id.
+    down = F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit((1 << 63) - 1)).alias("down")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select(down, F.xxhash64(text).alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = docs.count()
     parts = max(-(-rows // 50_000), min(200, -(-rows // per_part)), 1)
-    ranged = ids.repartitionByRange(parts, F.desc("doc_id")).groupBy(F.spark_partition_id().alias("part")).agg(F.max("doc_id").alias("head"))
-    heads = np.array(sorted((r.head for r in ranged.select("head").distinct().collect()), reverse=True), np.int64)  # one for each part
+    keys = docs.select("down", "hash").distinct()
+    ranged = keys.repartitionByRange(parts, "down", "hash").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("down", "hash")).alias("head"))
+    heads = sorted((r.head.down, r.head.hash) for r in ranged.collect())  # one for each part
     n = max(1, len(heads))
+    names = ["bucket", "kind", "down", "hash", "doc_id", "text"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """kind: 0 a document in its place, 1 the first of the next bucket, 2 one that follows itself."""
+        seen: set[int] = set()
         for batch in batches:
-            column = batch.column(0)
-            if n == 1:
-                bucket, again = np.zeros(len(batch), np.int32), np.zeros(0, np.int64)
-            else:
-                own = column.fill_null(np.iinfo(np.int64).min).to_numpy()
-                bucket = (np.searchsorted(-heads, -own, side="right") - 1).astype(np.int32)
-                null = column.is_null().to_numpy(zero_copy_only=False)
-                bucket[null] = n - 1
-                again = np.nonzero((heads[bucket] == own) & ~null)[0]
-            taken = pa.concat_arrays([pa.array(np.arange(len(batch))), pa.array(again)])
-            out = batch.take(taken)
-            where = np.concatenate([bucket, (bucket[again] - 1) % n]).astype(np.int32)
-            copy = np.arange(len(where)) >= len(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(copy), out.column(0), out.column(1)], names=["bucket", "copy", "doc_id", "text"])
+            where, kinds, taken = [], [], []
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                row = xxhash.xxh3_128_intdigest(batch.column(3)[i].as_buffer(), key[0] & (1 << 64) - 1)
+                if row in seen:
+                    where.append((row + i) % n)
+                    kinds.append(2)
+                    taken.append(i)
+                    continue
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(row)
+                bucket = max(0, bisect_right(heads, key) - 1)
+                where.append(bucket)
+                kinds.append(0)
+                taken.append(i)
+                if n > 1 and heads[bucket] == key:
+                    where.append((bucket - 1) % n)
+                    kinds.append(1)
+                    taken.append(i)
+            out = batch.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(kinds, pa.int32()), *out.columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, first, held = None, None, None  # bucket; its first document; the document that waits for its follower
         done: list[tuple] = []
 
-        def close(follower: tuple) -> None:
-            doc_id, text, fp = held
+        def close(doc: tuple, follower: tuple) -> None:
+            doc_id, text, fp, own = doc
             other = edited(text, follower[1])
             raw = other.encode("utf-8", "surrogatepass")
-            fp2 = sketch(raw)
-            done.append((doc_id, len(text), hashlib.sha256(raw).hexdigest(), shown(fp), shown(fp2), likeness(fp, fp2), likeness(fp, follower[2])))
+            fp2 = fingerprint(raw)
+            done.append((doc_id, len(text), hashlib.sha256(raw).hexdigest(), shown(fp), shown(fp2), likeness(fp, fp2, own), likeness(fp, follower[2], own, follower[3])))
 
         def flush() -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
@@ -148,25 +189,30 @@ def fingerprint_with_neighbours(docs: DataFrame, per_part: int = 2_000) -> DataF
         for whole in batches:
             for start in range(0, len(whole), 512):
                 batch = whole.slice(start, 512)
-                for bucket, copy, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for bucket, kind, doc_id, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5))):
                     if bucket != now:
                         if held is not None:
-                            close(first)
+                            close(held, first)
                         now, first, held = bucket, None, None
-                    if copy and held is None:
+                    if kind == 1 and held is None:
+                        continue
+                    fp = fingerprint(text.encode("utf-8", "surrogatepass"))
+                    doc = doc_id, text, fp, _numbered(fp) if len(fp) else None
+                    if kind == 2:
+                        close(doc, doc)
                         continue
-                    doc = doc_id, text, sketch(text.encode("utf-8", "surrogatepass"))
                     if held is not None:
-                        close(doc)
-                    held = None if copy else doc
+                        close(held, doc)
+                    held = None if kind == 1 else doc
                     first = first or doc
                 if done:
                     yield flush()
         if held is not None:
-            close(first)
+            close(held, first)
         if done:
             yield flush()
 
-    dealt = docs.mapInArrow(deal, "bucket int, copy boolean, doc_id long, text string")
-    placed = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "copy", F.desc_nulls_last("doc_id"), "text")
+    dealt = docs.mapInArrow(deal, "bucket int, kind int, down long, hash long, doc_id long, text string")
+    # Those that follow themselves come last: by then the bucket's last document has met its follower.
+    placed = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "down", "hash", "text")
     return placed.mapInArrow(run, RESULT)

@@ -291,14 +291,19 @@ def test_syncmers_by_definition():
     assert syncmers.anchors(data)[0].tolist() == plain_closed(data)
 
 
+def spark_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def check_neighbours(rows, table):
-    order = sorted(table, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))
+    order = sorted(table, key=lambda x: (x[0] is None, -(x[0] or 0), spark_hash(x[1] or ""), x[1] or ""))
     want = Counter()
     for k, (d, t) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
         m = len(t) // 3
         other = t[: len(t) - m] + nxt[:m]
-        fp = [syncmers.sketch(x.encode()) for x in (t, other, nxt)]
+        fp = [syncmers.fingerprint(x.encode()) for x in (t, other, nxt)]
         want[d, len(t), hashlib.sha256(other.encode()).hexdigest(), syncmers.shown(fp[0]), syncmers.shown(fp[1]), syncmers.likeness(fp[0], fp[1]), syncmers.likeness(fp[0], fp[2])] += 1
     assert Counter(map(tuple, rows)) == want
 
@@ -315,3 +320,49 @@ def test_syncmers_edges(spark, odd, empty, per_part):
     assert syncmers.fingerprint_with_neighbours(empty).count() == 0
     nulls = odd.where("doc_id is null")
     check_neighbours(syncmers.fingerprint_with_neighbours(nulls).collect(), [ODD[7]])
+
+
+@pytest.mark.parametrize("per_part", [1, 4, 1000])
+def test_syncmers_of_hot_ids_and_rows(spark, per_part):
+    text = lambda k: " ".join(f"w{k * j % 101}" for j in range(3, 40))
+    table = [(k, text(k)) for k in range(30)] + [(7, text(k)) for k in range(40)] + [(None, text(k)) for k in range(20)] + [(9, text(5))] * 25 + [(None, None), (None, "")]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    check_neighbours(syncmers.fingerprint_with_neighbours(df, per_part).collect(), table)
+
+
+def plain_likeness(a, b):
+    """Of whole k-mers, by the textbook's quadratic table over (k-mer, which of its places)."""
+    def names(data):
+        seen, out = Counter(), []
+        for p in plain_closed(data):
+            gram = data[p : p + syncmers.K]
+            out.append((gram, seen[gram]))
+            seen[gram] += 1
+        return out or [(data, 0)]
+
+    x, y = names(a), names(b)
+    row = [0] * (len(y) + 1)
+    for u in x:
+        last = 0
+        for j, v in enumerate(y):
+            last, row[j + 1] = row[j + 1], last + 1 if u == v else max(row[j], row[j + 1])
+    return row[-1] / (len(x) + len(y) - row[-1])
+
+
+@pytest.mark.parametrize("size", [10, 30, 100, 1000, 6000])
+def test_likeness_as_by_brute_force(size):
+    rnd = random.Random(size)
+    prose = lambda n: bytes(rnd.choice(b"abcde fgh") for _ in range(n))
+    whole = prose(size)
+    half = size // 2
+    for other in (whole, whole[half:] + whole[:half], whole[: size - size // 3] + prose(size // 3), prose(7) + whole, (whole[:40] * size)[:size], prose(size)):
+        got = syncmers.likeness(syncmers.fingerprint(whole), syncmers.fingerprint(other))
+        assert abs(got - plain_likeness(whole, other)) < 1e-3
+
+
+def test_likeness_of_very_long_texts():
+    rng = random.Random(8)
+    whole = rng.randbytes(1_000_000)
+    parts = {1.0: whole, 0.5: whole[:666_667] + rng.randbytes(333_333), 0.0: rng.randbytes(1_000_000)}
+    for want, other in parts.items():
+        assert abs(syncmers.likeness(syncmers.fingerprint(whole), syncmers.fingerprint(other)) - want) < 2e-3
