@@ -1,35 +1,67 @@
-"""What the operators of this subpackage share: reading, cutting lineage, prefix sums, components."""
+"""What the operators of this subpackage share: reading, cutting lineage, hot keys, prefix sums, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Keys fall into so many bins by hash; a bin with more than one HOT_SHARE-th of all rows (and HOT_ROWS) is hot.
+BINS, HOT_SHARE, HOT_ROWS = 1 << 13, 256, 200
+_OWN: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests) a folder of this machine is used.
+    Only where that setting is absent and driver and executors are one process (tests,
+    a laptop) a folder of this machine is used; a cluster without the setting is an error.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp("-seriesmill")
+        remove_at_exit(spark, _OWN[app])
+    return _OWN[app]
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder, removed when the driver ends."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        remove_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
 def cut_table(df: DataFrame) -> DataFrame:
     """Cuts lineage like `cut`, by a compressed table in the same shared folder: for wide or many rows."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-tables")
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,6 +75,53 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, beside which no name of an operator's own can clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def columns_of(docs: DataFrame, row: str = "row") -> list[Column]:
+    """The columns of docs out of `whole_row`."""
+    return [F.col(row).getField(c).alias(c) for c in docs.columns]
+
+
+def bin_of(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BINS)).cast("int")
+
+
+def hot_bins(df: DataFrame, keys: Sequence[str]) -> list[tuple[int, int]]:
+    """(bin, salts) of the hot bins of keys: fewer than HOT_SHARE; counts of at most BINS bins come to the driver."""
+    counts = df.groupBy(bin_of(keys).alias("bin")).agg(F.count("*").alias("n")).collect()
+    limit = max(sum(r.n for r in counts) / HOT_SHARE, HOT_ROWS)
+    return sorted((r.bin, int(-(-r.n // limit))) for r in counts if r.n > limit)
+
+
+def salts_of(keys: Sequence[str], hot: list[tuple[int, int]]) -> Column:
+    """Into how many parts the rows of a row's key go: 1 unless its bin is hot."""
+    if not hot:
+        return F.lit(1)
+    known = F.create_map(*(F.lit(x) for pair in hot for x in pair))
+    return F.coalesce(F.try_element_at(known, bin_of(keys)), F.lit(1))
+
+
+def join_salted(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: list[tuple[int, int]] | None = None) -> DataFrame:
+    """left join right on keys (equal names, no nulls), the rows of a hot key of left spread over several tasks.
+
+    Only the rows of right with a key in a hot bin are repeated, once for each part. A
+    row of left has its part from its place in its own partition, so that equal rows
+    spread too: left must be read from a table or a checkpoint, where places are stable.
+    """
+    keys = list(keys)
+    hot = hot_bins(left, keys) if hot is None else hot
+    if not hot:
+        return left.join(right, keys, how)
+    salts = salts_of(keys, hot)
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int")
+    left = left.withColumn("_place", place).withColumn("_salt", F.pmod("_place", salts)).drop("_place")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def two_level_offsets(df: DataFrame, keys: list[str], bucket: str, size: Column) -> DataFrame:
     """keys, bucket, before: the sum of `size` over the lower buckets of the same keys.
 
@@ -58,8 +137,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a long, b long) -> (node, label): label is the smallest node that node reaches.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014). Minima are
-    aggregated before the shuffle and joined back, so that a hub's neighbours can
-    be split among tasks; each round is cut by a checkpoint.
+    aggregated before the shuffle and joined back with hubs split among tasks; each
+    round is cut by a checkpoint.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     current = cut(both)
@@ -67,7 +146,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         two_way = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = two_way.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = two_way.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_salted(two_way, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))

@@ -8,14 +8,17 @@ Two differing bits span at most a plane, so some v is orthogonal to both, and th
 pair shares its key in that table: no pair within the radius is missed
 (Pagh, "CoveringLSH", 2016).
 
-Defined results: a null or empty text has fingerprint zero, linked like any other;
-equal fingerprints are one node, so copies are never expanded into pairs; a null
-doc_id takes part but names a component only if the component has no other;
-repeated rows give repeated rows; other columns of the input are ignored by
-`near_duplicates` and kept by `deduplicate`.
-
 `deduplicate`, the pipeline's stage, has a measure of its own, the Jaccard of 5-word
-shingles (see `similar`).
+shingles, and the same masks over min-hashes in place of bits (see `similar`).
+
+Defined results: a null or empty text, of any row, has fingerprint zero (no shingles),
+linked like any other; equal fingerprints (sets) are one node, so copies are never
+expanded into pairs; a null doc_id takes part but names a component only if the
+component has no other; repeated rows give repeated rows; ties have no say, as a
+component does not depend on an order; a very long text is hashed in parts of
+bounded memory, its words are held once; an empty table gives no rows; other columns
+of the input are ignored by `near_duplicates` and kept by `deduplicate`, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,18 +29,22 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import connected_components, cut, cut_table
+from seriesmill.llm.common import columns_of, connected_components, cut, cut_table, hot_bins, join_salted, salts_of, whole_row
 
 RADIUS = 2
 SEED = 42
 #: Up to this many members, a bucket is compared in one block; beyond it, by probing.
 BLOCK = 192
-#: `deduplicate`: words in a shingle, the least Jaccard of a link, bands and min-hashes in each.
-WORDS, LIKE, BANDS, ROWS = 5, 0.8, 24, 4
-_FLIP, _MULT = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+#: `deduplicate`: words in a shingle, the least Jaccard of a link, and groups of as many min-hashes as there are tables.
+WORDS, LIKE, GROUPS = 5, 0.8, 6
+#: Members of a bucket that are compared in one block: at most so many, with so many shingles together.
+MEMBERS, SHINGLES = 256, 4_000_000
+_TABLES = 2 ** (RADIUS + 1) - 1
+_FLIP, _MULT = np.random.default_rng(SEED).integers(0, 1 << 64, (2, GROUPS * _TABLES), np.uint64) | np.array([[0], [1]], np.uint64)
 
 
 def bit_masks() -> list[int]:
@@ -158,71 +165,107 @@ def fingerprint_classes(fps: DataFrame) -> DataFrame:
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("key")) for t, mask in enumerate(bit_masks())))).alias("k")
     buckets = distinct.select("fp", keys).select("k.tab", "k.key", "fp").repartition("tab", "key").sortWithinPartitions("tab", "key")
     labels = connected_components(buckets.mapInArrow(_links, "a long, b long").distinct())
-    marked = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    return named_classes(distinct, "fp", labels)
+
+
+def named_classes(distinct: DataFrame, node: str, labels: DataFrame) -> DataFrame:
+    """distinct (node, least), labels (node, label) -> node, label, component_id: the least id of all nodes of a label."""
+    labels = labels.select(F.col("node").alias("_node"), "label")
+    marked = cut(distinct.join(labels, F.col(node) == F.col("_node"), "left").select(node, "least", F.coalesce("label", node).alias("label")))
     named = marked.groupBy("label").agg(F.min("least").alias("component_id"))
-    return marked.join(named, "label").select("fp", "label", "component_id")
+    return join_salted(marked, named, ["label"]).select(node, "label", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, text_hash, fp, label, component_id: one row for each row of docs."""
     fps = cut(fingerprints(docs))
-    return fps.join(fingerprint_classes(fps), "fp").select("doc_id", "text_hash", "fp", "label", "component_id")
+    return join_salted(fps, fingerprint_classes(fps), ["fp"]).select("doc_id", "text_hash", "fp", "label", "component_id")
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Distinct hashes (ascending) of the WORDS-word shingles of one text; a shorter text is one shingle, one without words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingles(text: str | bytes | None) -> np.ndarray:
+    """Distinct hashes (ascending) of the WORDS-word shingles of one text; a shorter text is one shingle, one without words has none. As bytes it is lower-case already."""
+    words = text.split() if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     own = map(b" ".join, zip(*(words[k:] for k in range(WORDS)))) if len(words) >= WORDS else [b" ".join(words)]
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(SEED)), np.uint64))
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """A key for each band of ROWS min-hashes."""
+def least_hashes(own: np.ndarray) -> np.ndarray:
+    """The min-hashes of a set."""
     least = np.full(len(_MULT), np.iinfo(np.uint64).max)
     for start in range(0, len(own), 1024):
         x = (own[None, start : start + 1024] ^ _FLIP[:, None]) * _MULT[:, None]
         x = (x ^ (x >> np.uint64(29))) * _MULT[::-1, None]
         least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view("i8")
+    return least
+
+
+def covering_keys(least: np.ndarray) -> np.ndarray:
+    """(rows, min-hashes) -> (rows, keys): in each group of _TABLES min-hashes, a key for each table, of the coordinates that its mask keeps."""
+    masks, out = bit_masks(), np.zeros((len(least), GROUPS * _TABLES), np.uint64)
+    coordinates = least.reshape(len(least), GROUPS, _TABLES)
+    for t, mask in enumerate(masks):
+        for g in range(GROUPS):
+            key = np.full(len(least), g * _TABLES + t + 1, np.uint64)
+            for i in range(_TABLES):
+                if mask >> i & 1:
+                    key = (key ^ coordinates[:, g, i]) * _MULT[0]
+                    key ^= key >> np.uint64(31)
+            out[:, g * _TABLES + t] = key
+    return out.view("i8")
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, text) -> doc_id, text_hash, node (of the set of shingles), band keys."""
+    """(_ROW, text) -> _ROW, node (of the set of shingles), n (its size), keys."""
+    names = [*_ROW, "node", "n", "keys"]
     for batch in batches:
         for start in range(0, len(batch), 256):
             part = batch.slice(start, 256)
-            sets = [shingles(t) for t in part.column(2).to_pylist()]
+            sets = [shingles(t) for t in part.column(4).to_pylist()]
             node = pa.array([signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets], pa.int64())
-            keys = pa.array([band_keys(s) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), node, keys], names=["doc_id", "text_hash", "node", "keys"])
+            keys = covering_keys(np.array([least_hashes(s) for s in sets], np.uint64))
+            has = np.array([len(s) > 0 for s in sets])
+            offsets = np.concatenate([[0], np.cumsum(has) * keys.shape[1]]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].ravel()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], node, pa.array([len(s) for s in sets], pa.int32()), listed], names=names)
 
 
 def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, node): (grp, node) of each bucket with two nodes or more; buckets with the same nodes have the same grp."""
-    rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """Rows (key, node, n, split) sorted by key -> key, grp, node, n, whole.
 
-    def groups(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(key):
-            return
-        starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
-        grp, out = [], []
-        for k in np.nonzero(np.diff(starts) > 1)[0]:
-            own = node[starts[k] : starts[k + 1]]
-            grp.append(np.full(len(own), signed(xxhash.xxh64_intdigest(own.tobytes())), np.int64))
-            out.append(own)
-        if grp:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grp, out)], names=["grp", "node"])
+    A bucket with two nodes or more is cut in blocks of bounded size, in the order of
+    the rows; equal blocks of several tables have the same grp. whole: the block is
+    all of its bucket. One block at a time is held.
+    """
+    held: list[tuple[int, int]] = []
+    now, room, cut_before, split_now = None, 0, False, False
+
+    def block(more: bool) -> Iterator[pa.RecordBatch]:
+        """more: the bucket goes on."""
+        whole = not (more or cut_before or split_now)
+        if len(held) > 1 or (held and not whole):
+            nodes = np.array([x for x, _ in held], np.int64)
+            grp = signed(xxhash.xxh64_intdigest(np.sort(nodes).tobytes()))
+            columns = [np.full(len(held), now, np.int64), np.full(len(held), grp, np.int64), nodes, np.array([n for _, n in held], np.int32), np.full(len(held), whole)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "grp", "node", "n", "whole"])
 
     for batch in batches:
-        key, node = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(rest))
-        if not len(key):
-            continue
-        end = int(np.searchsorted(key, key[-1]))  # the last bucket may go on in the next batch
-        yield from groups(key[:end], node[:end])
-        rest = key[end:], node[end:]
-    yield from groups(*rest)
+        key, node, n, split = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        alone = np.ones(len(key), bool)  # a bucket of one node, not split, has nothing to say
+        if len(key) > 2:
+            alone[1:-1] = (key[1:-1] != key[:-2]) & (key[1:-1] != key[2:])
+        alone[[0, -1]] = False
+        for k, x, size, s in zip(*(c[~(alone & ~split)].tolist() for c in (key, node, n, split))):
+            if k != now:
+                yield from block(False)
+                held, now, room, cut_before, split_now = [], k, 0, False, s
+            elif len(held) >= MEMBERS or room + size > SHINGLES:
+                yield from block(True)
+                held, room, cut_before = [], 0, True
+            held.append((x, size))
+            room += size
+    yield from block(False)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -233,14 +276,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(both) - same) if len(both) else 1.0
 
 
-def _like(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect the members of one bucket with a Jaccard of LIKE or more, at most one for each member.
+def _like(nodes: list[int], sets: list[np.ndarray], known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect the members of one block with a Jaccard of LIKE or more, at most one for each member.
 
     Members within 1 - LIKE of an earlier leader join its ball, others lead one of their
     own. The distance is a metric, so a member of a ball whose distance from the leader
-    is less than that of the newcomer by more than 1 - LIKE needs no look.
+    is less than that of the newcomer by more than 1 - LIKE needs no look. Members of one
+    known label are connected already.
     """
     root, far, balls, links = list(range(len(sets))), 1 - LIKE + 1e-9, [], []
+    first: dict[int, int] = {}
+    if known:
+        root = [first.setdefault(x, i) for i, x in enumerate(known)]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -275,61 +322,113 @@ def _like(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, node, own) sorted by grp: the links of each group."""
-    now, nodes, sets = None, [], []
+    """Rows (grp, node, label, packed text) sorted by grp: the links of each group. One group, of bounded size, at a time is held."""
+    now, nodes, sets, known = None, [], [], []
+    opener = zstandard.ZstdDecompressor()
 
     def close() -> Iterator[pa.RecordBatch]:
-        if found := _like(nodes, sets):
+        if found := _like(nodes, sets, known):
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for start in range(0, len(batch), 512):
-            for grp, node, own in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns)):
-                if grp != now:
-                    yield from close()
-                    now, nodes, sets = grp, [], []
-                nodes.append(node)
-                sets.append(np.frombuffer(own, np.uint64))
+        for grp, node, label, text in zip(*(c.to_pylist() if k < 3 else c for k, c in enumerate(batch.columns))):
+            if grp != now:
+                yield from close()
+                now, nodes, sets, known = grp, [], [], []
+            nodes.append(node)
+            known.append(label)
+            sets.append(shingles(opener.decompress(text.as_buffer())))
     yield from close()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) -> node, own: the hashes of its shingles."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, lower-cased and compressed: they move between executors."""
+    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        for start in range(0, len(batch), 256):
-            part = batch.slice(start, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["node", "own"])
+        for start in range(0, len(batch), 1024):
+            part = batch.slice(start, 1024)
+            packed = pa.array([packer.compress(bytes(x.as_buffer()).lower()) if x.is_valid else packer.compress(b"") for x in part.column(part.num_columns - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed], names=part.schema.names)
+
+
+def _links_of(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """groups (grp, node, label), texts (node, packed) -> links (a, b)."""
+    rows = groups.join(texts, "node").select("grp", "node", "label", "packed").repartition("grp").sortWithinPartitions("grp")
+    return rows.mapInArrow(_verified, "a long, b long")
+
+
+def _crossing(wide: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of buckets that were cut: pairs of blocks with members of different labels whose sizes let them be alike -> grp, node, label."""
+    marked = cut(wide.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "grp", "node", "n", F.coalesce("label", "node").alias("label")))
+    blocks = marked.groupBy("key", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last"))
+    left, right = (blocks.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("grp", "low", "high", "first", "last"))) for s in "ab")
+    apart = ~((F.col("first_a") == F.col("last_a")) & (F.col("first_b") == F.col("last_b")) & (F.col("first_a") == F.col("first_b")))
+    near = (F.col("high_a") >= F.col("low_b") * LIKE - 1e-9) & (F.col("high_b") >= F.col("low_a") * LIKE - 1e-9)
+    pairs = left.join(right, "key").where((F.col("grp_a") < F.col("grp_b")) & apart & near).select(F.xxhash64("grp_a", "grp_b").alias("both"), F.explode(F.array("grp_a", "grp_b")).alias("grp")).distinct()
+    return pairs.join(marked.select("grp", "node", "label").distinct(), "grp").select(F.col("both").alias("grp"), "node", "label").distinct()
+
+
+#: What names a row: its doc_id, with null told apart, its text and its other columns, both as hashes.
+_ROW = ["id", "no_id", "text_hash", "tie"]
+
+
+def _keyed(docs: DataFrame) -> list[Column]:
+    """The columns of _ROW."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")
+    doc_id = F.col("doc_id").cast("long")
+    return [F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"), F.xxhash64("text").alias("text_hash"), tie.alias("tie")]
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs -> rows (_ROW, doc_id, node, ...), classes (node, label, component_id)."""
+    keyed = docs.select(*_keyed(docs), "text")
+    marked = cut_table(keyed.mapInArrow(_nodes, "id long, no_id boolean, text_hash long, tie long, node long, n int, keys array<long>"))
+    marked = marked.withColumn("doc_id", F.when(~F.col("no_id"), F.col("id")))
+    distinct = cut_table(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(*_ROW)).alias("chosen"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")))
+    buckets = distinct.select(F.explode("keys").alias("key"), "node", "n")
+    salts = salts_of(["key"], hot_bins(buckets, ["key"]))
+    dealt = buckets.select("key", "node", "n", (salts > 1).alias("split"), F.pmod("node", salts).alias("salt")).repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "node")
+    blocks = cut_table(dealt.select("key", "node", "n", "split").mapInArrow(_memberships, "key long, grp long, node long, n int, whole boolean"))
+    # The text of each node that shares a bucket: that of one row.
+    needed = blocks.select("node").distinct().join(distinct.select("node", "chosen"), "node").select("chosen.*", F.col("node").alias("wanted"))
+    texts = keyed.select(*_ROW, F.col("text").cast("binary").alias("packed")).mapInArrow(_pack, "id long, no_id boolean, text_hash long, tie long, packed binary")
+    texts = join_salted(texts, needed, _ROW, hot=hot_bins(marked, _ROW)).dropDuplicates(_ROW)
+    texts = cut_table(texts.select(F.col("wanted").alias("node"), "packed"))
+    links = cut(_links_of(blocks.select("grp", "node", F.col("node").alias("label")).distinct(), texts).distinct())
+    labels = connected_components(links)
+    wide = blocks.where("NOT whole").select("key", "grp", "node", "n")
+    if not wide.isEmpty():
+        more = _links_of(_crossing(wide, labels), texts)
+        labels = connected_components(links.unionByName(more).distinct())
+    return marked.select(*_ROW, "doc_id", "node"), named_classes(distinct, "node", labels)
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, text_hash, node, label, component_id: groups linked by a Jaccard of LIKE or more of WORDS-word shingles.
 
-    Candidates share a band of min-hashes; each is then checked on the whole sets, which
-    only members of such buckets send, once for all buckets with the same members. A pair
-    at 0.8 exactly shares no band with probability (1 - 0.8**ROWS)**BANDS, 3e-6.
+    A fingerprint of 64 majority bits can't tell a Jaccard of 0.8: such pairs differ in
+    9.7 bits on average and the covering for all of them has 2**19 tables (README). So a
+    coordinate is a min-hash instead of a bit, and the same masks give _TABLES tables
+    over each of GROUPS groups of _TABLES min-hashes: a pair that differs in RADIUS or
+    fewer of a group's coordinates shares a bucket for sure. At 0.8 exactly no group is
+    so close, nor lucky beyond it, with probability 4e-6. Candidates are then checked on
+    the whole sets: in blocks of a bucket first, and between the blocks of a bucket that
+    was cut as far as its members are not of one component yet.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    marked = cut_table(base.mapInArrow(_nodes, "doc_id long, text_hash long, node long, keys array<long>"))
-    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.any_value("keys").alias("keys"))
-    keyed = distinct.select(F.explode("keys").alias("key"), "node")
-    groups = cut_table(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_memberships, "grp long, node long").distinct())
-    needed = groups.select("node").distinct().join(distinct, "node").select("node", "text_hash")
-    own = base.select("text_hash", "text").join(needed, "text_hash").dropDuplicates(["text_hash"]).select("node", "text").mapInArrow(_sets, "node long, own binary")
-    links = groups.join(own, "node").select("grp", "node", "own").repartition("grp").sortWithinPartitions("grp").mapInArrow(_verified, "a long, b long")
-    labels = connected_components(links.distinct()).withColumnRenamed("node", "_node")
-    classes = distinct.join(labels, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    named = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    return marked.join(classes.join(named, "label").select("node", "label", "component_id"), "node").select("doc_id", "text_hash", "node", "label", "component_id")
+    rows, classes = _classes(docs)
+    return join_salted(rows, classes, ["node"]).select("doc_id", "text_hash", "node", "label", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group of `similar` stays, the one with the smallest doc_id; all columns of docs are kept.
 
-    Of repeated rows one stays, and of several texts with that doc_id the one with
-    the smallest node.
+    Of several texts with that doc_id the one with the smallest node stays, of rows that
+    differ in other columns only the one whose columns have the smallest hash, of
+    repeated rows one.
     """
-    columns = docs.columns
-    own = similar(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = own.groupBy("label").agg(F.min(F.struct("node", "text_hash", "doc_id")).alias("_stay")).select(F.col("_stay.doc_id").alias("_id"), F.col("_stay.text_hash").alias("_hash"))
-    marked = docs.withColumn("_own", F.xxhash64("text"))
-    return marked.join(stay, (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_own", "doc_id"]).select(*columns)
+    rows, classes = _classes(docs)
+    own = join_salted(rows, classes, ["node"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = own.groupBy("label").agg(F.min(F.struct("node", *_ROW)).alias("stay")).select(*(F.col(f"stay.{c}") for c in _ROW))
+    whole = docs.select(*_keyed(docs), whole_row(docs).alias("row"))
+    return join_salted(whole, cut(stay), _ROW, hot=hot_bins(rows, _ROW)).dropDuplicates(_ROW).select(*columns_of(docs))

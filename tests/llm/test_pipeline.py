@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline as cp
 import pytest
 import test_documents as plain
+import test_near_dedup
 import test_pii
 from pyspark.sql import functions as F
 from seriesmill.llm import quality
@@ -37,9 +38,8 @@ def test_quality_stage(spark, sf_dir, steps):
 
 
 def test_near_duplicate_stage(steps):
-    fps = {r.doc_id: plain.plain_fingerprint(r.text) for r in steps[1].collect()}
-    comp = plain.plain_components(fps)
-    assert sorted(r.doc_id for r in steps[2].collect()) == sorted(set(comp.values()))
+    want = test_near_dedup.plain_groups({r.doc_id: r.text for r in steps[1].collect()})
+    assert sorted(r.doc_id for r in steps[2].collect()) == sorted(set(want.values()))
 
 
 def test_personal_data_stage(steps):
