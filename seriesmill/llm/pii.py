@@ -11,19 +11,29 @@ it is all that reaches the driver.
 The base rules (email, ip, card, phone) always stand; added spans never overlap them
 or each other. Offsets count code points, ends are exclusive.
 
-Defined results: a null text counts as an empty one and has no spans; rows are
-annotated one by one, so repeated rows get equal spans; an empty table gives no rows;
-all columns of the input are kept by `redact`, and columns named like a result are
-replaced by it.
+Places come from running sums in log2(n) rounds, and a text is cut in blocks of BLOCK
+code points before spans are taken out of it: the time for a text is linear in its
+length and n log n in its matches.
+
+Defined results: a null text counts as an empty one and has no spans (`redact` leaves
+it null); of added spans that overlap the one that starts first stands, of equal starts
+the kind listed first, then the shorter; an added span that overlaps a base span goes;
+very long texts are annotated whole, in one row; rows are annotated one by one, so
+repeated rows get equal spans; an empty table gives no rows; all columns of the input
+are kept by `redact`, whatever their names, and a column named like the result of
+`annotate` is replaced by it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesmill.llm.common import columns_of, cut_table, whole_row
+
 #: The order of kinds in a result; the first four are the base rules'.
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
 #: kinds x votes x feature values: no more rows than this can reach the driver.
@@ -52,23 +62,46 @@ CUES = {
 }
 AGAINST = r"version|checksum|sha-?\d|md5|commit|isbn|invoice|order n|page|serial"
 _WINDOW = 40  # code points of context on the left
+CHUNK, BLOCK = 64, 4096
 
 CANDIDATE = "array<struct<kind:int,start:int,end:int,base:boolean,votes:array<int>,features:array<int>>>"
 
 
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once and not for each use."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The running op over an array of integers, in log2(size) rounds that each combine places 1, 2, 4, ... apart.
+
+    A fold that appends to an array copies all of it at each step.
+    """
+    def combined(acc: Column, gap: Column) -> Column:
+        return F.transform(acc, lambda x, i: F.when(i >= gap, op(x, F.get(acc, i - gap))).otherwise(x))
+
+    def run(v: Column) -> Column:
+        rounds = F.coalesce(F.ceil(F.log2(F.size(v))).cast("int"), F.lit(0))
+        gaps = F.transform(F.sequence(F.lit(0), F.greatest(rounds - 1, F.lit(0))), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+        return F.when(F.size(v) < 2, v).otherwise(F.aggregate(gaps, v, combined))
+
+    return _bound(values, run)
+
+
+_MATCH = "struct<kind:int,start:int,end:int,match:string,left:string>"
+
+
 def _matches(text: Column, pattern: str, kind: str) -> Column:
-    """Array of (kind, start, end, match, left, right)."""
-    found = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<kind:int,start:int,end:int,match:string,left:string>>").alias("out"))
+    """Array of (kind, start, end, match, left)."""
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.length(x["p"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("match"), F.right(x["p"], F.lit(_WINDOW)).alias("left"))
-        return F.struct(end.alias("pos"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
+    def placed(pieces: Column) -> Column:
+        size = lambda x: F.coalesce(F.length(x["m"]), F.lit(0))
+        ends = _scan(F.transform(pieces, lambda x: F.length(x["p"]) + size(x)), lambda a, b: a + b)
+        spans = F.zip_with(pieces, ends, lambda x, end: F.struct(F.lit(KINDS.index(kind)).alias("kind"), (end - size(x)).alias("start"), end.alias("end"), x["m"].alias("match"), F.right(x["p"], F.lit(_WINDOW)).alias("left")))
+        return F.filter(spans, lambda x: x["match"].isNotNull())
 
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,match:string,left:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), _bound(pieces, placed)).otherwise(F.array().cast(f"array<{_MATCH}>"))
 
 
 def _digits(s: Column) -> Column:
@@ -186,9 +219,14 @@ def _on(kind: int, strict: int, features: tuple[int, ...]) -> tuple[int, ...]:
     return 0, 1 + kind, 1 + len(KINDS) + strict, 3 + len(KINDS) + size, 7 + len(KINDS) + before, 11 + len(KINDS) + mix
 
 
-def train(docs: DataFrame, steps: int = 300) -> list[float]:
+def train(docs: DataFrame) -> list[float]:
     """docs (text) -> weights of the span classifier."""
-    found = docs.select(F.explode(candidates(F.col("text"))).alias("c")).select("c.kind", "c.votes", "c.features").groupBy("kind", "votes", "features").agg(F.count("*").alias("n"))
+    return train_on(docs.select(candidates(F.col("text")).alias("found")))
+
+
+def train_on(table: DataFrame, steps: int = 300) -> list[float]:
+    """table (found: candidates) -> weights of the span classifier."""
+    found = table.select(F.explode("found").alias("c")).select("c.kind", "c.votes", "c.features").groupBy("kind", "votes", "features").agg(F.count("*").alias("n"))
     rows = sorted((r.kind, tuple(r.votes), tuple(r.features), float(r.n)) for r in found.collect())  # at most PATTERNS
     by_votes: dict[tuple[int, tuple[int, ...]], float] = {}
     for kind, votes, _, n in rows:
@@ -208,8 +246,25 @@ def train(docs: DataFrame, steps: int = 300) -> list[float]:
     return weights
 
 
-def spans(text: Column, weights: list[float]) -> Column:
-    """Array of (start, kind, end, base), sorted: the base spans, and the added ones that the classifier takes."""
+SPAN = "struct<start:int,rank:int,kind:int,end:int,base:boolean>"
+
+
+def _none(kind: str) -> Column:
+    """An empty list of `kind` that a fold adds to: full chunks and the one that is open."""
+    return F.struct(F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("open"))
+
+
+def _added(out: Column, x: Column) -> Column:
+    more = F.struct(out["full"].alias("full"), F.array_append(out["open"], x).alias("open"))
+    return F.when(F.size(out["open"]) < CHUNK, more).otherwise(F.struct(F.array_append(out["full"], out["open"]).alias("full"), F.array(x).alias("open")))
+
+
+def _listed(out: Column) -> Column:
+    return F.flatten(F.array_append(out["full"], out["open"]))
+
+
+def spans(found: Column, weights: list[float]) -> Column:
+    """Candidates -> array of (start, kind, end, base), sorted: the base spans, and the added ones that the classifier takes."""
     w = F.array(*(F.lit(x) for x in weights))
     n = len(KINDS)
 
@@ -221,16 +276,41 @@ def spans(text: Column, weights: list[float]) -> Column:
     def plain(x: Column) -> Column:
         return F.struct(x["start"], x["kind"], x["end"], x["base"])
 
+    def ranked(x: Column) -> Column:
+        return F.struct(x["start"], F.when(x["base"], 0).otherwise(1).alias("rank"), x["kind"], x["end"], x["base"])
+
+    def free(items: Column) -> Column:
+        """The added spans that overlap no base span: they begin after all that stand before them and end before the next."""
+        ended = _scan(F.transform(items, lambda x: F.when(x["base"], x["end"]).otherwise(-1)), F.greatest)
+        begun = F.reverse(_scan(F.reverse(F.transform(items, lambda x: F.when(x["base"], x["start"]).otherwise(2**31 - 1))), F.least))
+        both = F.zip_with(ended, begun, lambda a, b: F.struct(a.alias("after"), b.alias("before")))
+        told = F.zip_with(items, both, lambda x, y: F.struct(x.alias("x"), (~x["base"] & (x["start"] >= y["after"]) & (x["end"] <= y["before"])).alias("stands")))
+        return F.transform(F.filter(told, lambda t: t["stands"]), lambda t: t["x"])
+
+    def apart(items: Column) -> Column:
+        """Without those that begin inside one that stands; the fold is needed only from the first overlap on."""
+        ends = _scan(F.transform(items, lambda x: x["end"]), F.greatest)
+        meets = F.zip_with(items, F.concat(F.array(F.lit(-1)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))), lambda x, end: x["start"] < end)
+
+        def step(acc: Column, x: Column) -> Column:
+            stands = x["start"] >= acc["end"]
+            return F.struct(F.when(stands, x["end"]).otherwise(acc["end"]).alias("end"), F.when(stands, _added(acc["out"], x)).otherwise(acc["out"]).alias("out"))
+
+        folded = F.aggregate(items, F.struct(F.lit(-1).alias("end"), _none(SPAN).alias("out")), step, lambda acc: _listed(acc["out"]))
+        return F.when(F.exists(meets, lambda m: F.coalesce(m, F.lit(False))), folded).otherwise(items)
+
     def parted(found: Column) -> Column:
-        base = F.filter(found, lambda x: x["base"])
-        more = F.array_sort(F.transform(F.filter(found, lambda x: ~x["base"] & (score(x) > 0)), plain))
-        more = F.filter(more, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>").alias("out"))
-        apart = F.aggregate(more, start, lambda acc, x: F.when(x["start"] >= acc["end"], F.struct(x["end"].alias("end"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc), lambda acc: acc["out"])
-        return F.array_sort(F.concat(F.transform(base, plain), apart))
+        items = F.array_sort(F.transform(F.filter(found, lambda x: x["base"] | (score(x) > 0)), ranked)).cast(f"array<{SPAN}>")
+
+        def settled(items: Column) -> Column:
+            base, more = F.filter(items, lambda x: x["base"]), F.filter(items, lambda x: ~x["base"])
+            stands = F.when(F.size(base) == 0, more).otherwise(free(items))
+            out = F.when(F.size(more) == 0, base).otherwise(F.concat(base, _bound(stands, apart)))
+            return F.array_sort(F.transform(out, plain))
 
-    # One element, so that the candidates are found once and not for each use.
-    return F.transform(F.array(candidates(text)), parted)[0]
+        return _bound(items, settled)
+
+    return _bound(found, parted)
 
 
 def said(found: Column) -> Column:
@@ -239,23 +319,52 @@ def said(found: Column) -> Column:
     return F.concat_ws(",", F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def annotate(docs: DataFrame, weights: list[float] | None = None, to: str = "pii_spans") -> DataFrame:
-    """docs with the column `to`: array<struct<start,kind,end,base>>."""
-    return docs.withColumn(to, spans(F.col("text"), train(docs) if weights is None else weights))
+def annotate(docs: DataFrame, weights: list[float] | None = None, to: str = "pii_spans", keep_text: bool = True) -> DataFrame:
+    """docs with the column `to`: array<struct<start,kind,end,base>>.
+
+    Without the text the candidates are looked for once, and kept in a table for the fit
+    and its verdicts; with it a second time, as the texts would have to be kept too.
+    """
+    if not keep_text:
+        table = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", to)), candidates(F.col("text")).alias(to))
+        if weights is None:
+            table = cut_table(table)
+            weights = train_on(table.select(F.col(f"`{to}`").alias("found")))
+        return table.withColumn(to, spans(F.col(f"`{to}`"), weights))
+    return docs.withColumn(to, spans(candidates(F.col("text")), train(docs) if weights is None else weights))
+
+
+def redacted(text: Column, found: Column) -> Column:
+    """The text with each span replaced by its kind in brackets; of spans that overlap the first one's mark stands for both."""
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS), F.lit(""))
+
+    def gaps(found: Column) -> Column:
+        """What lies before each span that begins outside all before it, and the rest."""
+        ends = _scan(F.transform(found, lambda x: x["end"]), F.greatest)
+        own = F.zip_with(found, F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)), lambda x, pos: F.struct(pos.alias("begin"), x["start"].alias("end"), x["kind"].alias("kind")))
+        last = F.struct(F.element_at(ends, -1).alias("begin"), F.length(text).alias("end"), F.lit(len(KINDS)).alias("kind"))
+        return F.concat(F.filter(own, lambda g: g["end"] >= g["begin"]), F.array(last))
+
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+
+    def piece(blocks: Column, g: Column) -> Column:
+        first, end = F.floor(g["begin"] / BLOCK).cast("int"), F.floor((g["end"] - 1) / BLOCK).cast("int")
+        inner = F.substring(F.get(blocks, first), g["begin"] % BLOCK + 1, g["end"] - g["begin"])
+        outer = F.concat(F.substring(F.get(blocks, first), g["begin"] % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, F.greatest(end - first - 1, F.lit(0))), ""), F.substring(F.get(blocks, end), F.lit(1), g["end"] - end * BLOCK))
+        kept = F.when(g["end"] <= g["begin"], F.lit("")).when(first == end, inner).otherwise(outer)
+        return F.concat(kept, F.get(names, g["kind"]))
+
+    both = F.struct(blocks.alias("blocks"), _bound(found, gaps).alias("gaps"))
+    clean = _bound(both, lambda x: F.array_join(F.transform(x["gaps"], lambda g: piece(x["blocks"], g)), ""))
+    return F.when(F.size(found) > 0, clean).otherwise(text)
 
 
 def redact(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
     """docs with each span replaced by its kind in brackets; n_chars is kept in step where docs have it."""
-    marked = annotate(docs, weights, "_spans")
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-
-    def step(acc: Column, x: Column) -> Column:
-        begun = x["start"] >= acc["pos"]  # else it overlaps the last one, whose mark then stands for both
-        gap = F.substring(F.col("text"), acc["pos"] + 1, F.greatest(F.lit(0), x["start"] - acc["pos"]))
-        parts = F.when(begun, F.concat(acc["parts"], F.array(gap, F.get(names, x["kind"])))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), parts.alias("parts"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["pos"] + 1, F.length(F.col("text")))))
-    out = marked.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))).drop("_spans")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    weights = train(docs) if weights is None else weights
+    marked = docs.select(whole_row(docs).alias("row"), F.col("text"), spans(candidates(F.col("text")), weights).alias("found"))
+    clean = marked.select("row", redacted(F.col("text"), F.col("found")).alias("clean"))
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    return clean.select(*(new[c].alias(c) if c in new else old for c, old in zip(docs.columns, columns_of(docs))))

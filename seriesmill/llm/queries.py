@@ -21,7 +21,7 @@ def piece_model() -> str:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.annotate(docs)
+    found = pii.annotate(docs, keep_text=False)
     base = F.filter("pii_spans", lambda s: s["base"])
 
     def of(k: int) -> Column:

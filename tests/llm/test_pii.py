@@ -87,3 +87,79 @@ def test_redaction(spark, frame):
 
 def test_empty_table(spark, frame):
     assert pii.annotate(frame.limit(0)).count() == 0 and pii.redact(frame.limit(0)).count() == 0
+
+
+def plain_spans(text, weights):
+    """What stands of the candidates by the definition, pair by pair."""
+    def score(kind, votes, features):
+        return sum(weights[i] for i in pii._on(kind, int(votes[0] == 1), features))
+
+    found = [(c.start, c.kind, c.end, c.base, score(c.kind, c.votes, c.features)) for c in text]
+    base = [x[:4] for x in found if x[3]]
+    out = []
+    for x in sorted(x[:4] for x in found if not x[3] and x[4] > 0):
+        if not any(b[0] < x[2] and x[0] < b[2] for b in base) and not any(o[0] < x[2] and x[0] < o[2] for o in out):
+            out.append(x)
+    return sorted(base + out)
+
+
+def crowded(seed):
+    import random
+
+    rnd = random.Random(seed)
+    parts = ["123-45-6789", "(555) 234-5678", "555-234-5678", "1.2.3.4", "a@b.co", "me (at) mail.example.com", "24be64439e3e49cf46b2d7c90f3602a3", "+1 555 234 5678 11", "4111 1111 1111 1111", " ", ", ", "x", "é😀 "]
+    return "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 700)))
+
+
+def test_spans_as_by_definition(spark):
+    from pyspark.sql import functions as F
+
+    texts = [*TEXTS, *map(crowded, range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for weights in ([1.0] * 20, [0.5 - 0.1 * k for k in range(20)]):
+        rows = df.select(pii.candidates(F.col("text")).alias("found")).select("found", pii.spans(F.col("found"), weights).alias("spans")).collect()
+        for r in rows:
+            assert [tuple(s) for s in r.spans] == [tuple(x) for x in plain_spans(r.found, weights)]
+
+
+def plain_redacted(text, found):
+    out, pos = [], 0
+    for s in found:
+        if s.start >= pos:
+            out += [text[pos : s.start], f"[{pii.KINDS[s.kind].upper()}]"]
+        pos = max(pos, s.end)
+    return "".join([*out, text[pos:]])
+
+
+def test_redaction_as_by_slices(spark):
+    texts = [*TEXTS, *map(crowded, range(20)), "é" * 4095 + "1.2.3.4" + "😀" * 9000 + " a@b.co" + "\n" * 4100, "1.2.3.4 " + "z" * 4088, "x" * 4096 + "1.2.3.4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = [1.0] * 20
+    found = {r.doc_id: r.pii_spans for r in pii.annotate(df, weights).collect()}
+    for r in pii.redact(df, weights).collect():
+        text = texts[r.doc_id]
+        assert r.text == (plain_redacted(text, found[r.doc_id]) if text is not None else None)
+
+
+def test_dense_texts_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "10.20.30.40 123-45-6789 " * n)], "doc_id long, text string")
+        began = time.time()
+        row = pii.redact(df, [1.0] * 20).first()
+        assert row.text == "[IP] [SSN] " * n
+        return time.time() - began
+
+    seconds(1000)
+    small, large = seconds(8_000), seconds(32_000)
+    assert large < 8 * small + 2
+
+
+def test_clashing_columns(spark):
+    names = ["_spans", "row", "found", "clean", "pii_spans", "base", "a.b"]
+    df = spark.createDataFrame([(1, "at 1.2.3.4", 7, *names), (2, None, None, *names)], "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names))
+    out = pii.redact(df)
+    assert out.dtypes == df.dtypes
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "at [IP]", 7, *names), (2, None, None, *names)]
+    assert {c for c in pii.annotate(df, keep_text=False).columns} == set(df.columns) - {"text"}
