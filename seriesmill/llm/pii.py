@@ -91,17 +91,15 @@ def _scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
 _MATCH = "struct<kind:int,start:int,end:int,match:string,left:string>"
 
 
-def _matches(text: Column, pattern: str, kind: str) -> Column:
-    """Array of (kind, start, end, match, left)."""
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-
-    def placed(pieces: Column) -> Column:
-        size = lambda x: F.coalesce(F.length(x["m"]), F.lit(0))
-        ends = _scan(F.transform(pieces, lambda x: F.length(x["p"]) + size(x)), lambda a, b: a + b)
-        spans = F.zip_with(pieces, ends, lambda x, end: F.struct(F.lit(KINDS.index(kind)).alias("kind"), (end - size(x)).alias("start"), end.alias("end"), x["m"].alias("match"), F.right(x["p"], F.lit(_WINDOW)).alias("left")))
-        return F.filter(spans, lambda x: x["match"].isNotNull())
-
-    return F.when(text.rlike(pattern), _bound(pieces, placed)).otherwise(F.array().cast(f"array<{_MATCH}>"))
+def _matches(text: str, pattern: str, kind: str) -> Column:
+    """Array of (kind, start, end, match, left); text is an SQL expression. As SQL text, since building it call by call takes seconds."""
+    pieces = f"arrays_zip(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0))"
+    pieces = f"transform({pieces}, x -> named_struct('p', x['0'], 'm', x['1'], 'n', coalesce(length(x['1']), 0)))"
+    gaps = "transform(sequence(0, greatest(cast(ceil(log2(size(pieces))) as int) - 1, 0)), k -> cast(pow(2, k) as int))"
+    ends = f"aggregate({gaps}, transform(pieces, x -> length(x.p) + x.n), (acc, gap) -> transform(acc, (x, i) -> if(i >= gap, x + get(acc, i - gap), x)))"
+    span = f"named_struct('kind', {KINDS.index(kind)}, 'start', end - x.n, 'end', end, 'match', x.m, 'left', right(x.p, {_WINDOW}))"
+    placed = f"filter(zip_with(pieces, {ends}, (x, end) -> {span}), x -> x.match IS NOT NULL)"
+    return F.expr(f"if({text} rlike r'{pattern}', transform(array({pieces}), pieces -> {placed})[0], cast(array() as array<{_MATCH}>))")
 
 
 def _digits(s: Column) -> Column:
@@ -133,13 +131,14 @@ def _judged(x: Column, kind: str, valid: Column, strict: Column, known: Column,
     return F.struct(x["kind"], x["start"], x["end"], (valid if base else F.lit(False)).alias("base"), F.array(_vote(strict), _vote(known, F.lit(True)), context).alias("votes"), features.alias("features"))
 
 
-def candidates(text: Column) -> Column:
-    """Array CANDIDATE: base matches, valid or not, and the wider ones, in no set order."""
-    text = F.coalesce(text, F.lit(""))
+def candidates(name: str = "text") -> Column:
+    """Array CANDIDATE of the texts in the column `name`: base matches, valid or not, and the wider ones, in no set order."""
+    said = f"coalesce(`{name}`, '')"
+    text = F.expr(said)
     digit, none = text.rlike("[0-9]"), F.array().cast(CANDIDATE)
 
     def of(gate: Column, pattern: str, kind: str, judge) -> Column:
-        return F.when(gate, F.transform(_matches(text, pattern, kind), judge)).otherwise(none)
+        return F.when(gate, F.transform(_matches(said, pattern, kind), judge)).otherwise(none)
 
     def email(x: Column) -> Column:
         last = F.lower(F.element_at(F.split(x["match"], r"\."), -1))
@@ -175,7 +174,7 @@ def candidates(text: Column) -> Column:
     def ssn(x: Column) -> Column:
         return _judged(x, "ssn", F.lit(False), ~x["match"].rlike("^(000|666|9)") & ~x["match"].rlike("-00-|-0000$"), x["match"].rlike("^[0-8]"), False)
 
-    wide_card = F.filter(_matches(text, CARD, "card"), lambda x: F.length(_digits(x["match"])).between(13, 19))
+    wide_card = F.filter(_matches(said, CARD, "card"), lambda x: F.length(_digits(x["match"])).between(13, 19))
     return F.concat(
         of(F.contains(text, F.lit("@")), EMAIL, "email", email),
         of(F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")), EMAIL_SPELT, "email", spelt),
@@ -221,7 +220,7 @@ def _on(kind: int, strict: int, features: tuple[int, ...]) -> tuple[int, ...]:
 
 def train(docs: DataFrame) -> list[float]:
     """docs (text) -> weights of the span classifier."""
-    return train_on(docs.select(candidates(F.col("text")).alias("found")))
+    return train_on(docs.select(candidates().alias("found")))
 
 
 def train_on(table: DataFrame, steps: int = 300) -> list[float]:
@@ -326,12 +325,12 @@ def annotate(docs: DataFrame, weights: list[float] | None = None, to: str = "pii
     and its verdicts; with it a second time, as the texts would have to be kept too.
     """
     if not keep_text:
-        table = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", to)), candidates(F.col("text")).alias(to))
+        table = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", to)), candidates().alias(to))
         if weights is None:
             table = cut_table(table)
             weights = train_on(table.select(F.col(f"`{to}`").alias("found")))
         return table.withColumn(to, spans(F.col(f"`{to}`"), weights))
-    return docs.withColumn(to, spans(candidates(F.col("text")), train(docs) if weights is None else weights))
+    return docs.withColumn(to, spans(candidates(), train(docs) if weights is None else weights))
 
 
 def redacted(text: Column, found: Column) -> Column:
@@ -362,7 +361,7 @@ def redacted(text: Column, found: Column) -> Column:
 def redact(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
     """docs with each span replaced by its kind in brackets; n_chars is kept in step where docs have it."""
     weights = train(docs) if weights is None else weights
-    marked = docs.select(whole_row(docs).alias("row"), F.col("text"), spans(candidates(F.col("text")), weights).alias("found"))
+    marked = docs.select(whole_row(docs).alias("row"), F.col("text"), spans(candidates(), weights).alias("found"))
     clean = marked.select("row", redacted(F.col("text"), F.col("found")).alias("clean"))
     new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions
 from seriesmill.llm import pii
 
 RULES = {
@@ -112,12 +113,10 @@ def crowded(seed):
 
 
 def test_spans_as_by_definition(spark):
-    from pyspark.sql import functions as F
-
     texts = [*TEXTS, *map(crowded, range(30))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for weights in ([1.0] * 20, [0.5 - 0.1 * k for k in range(20)]):
-        rows = df.select(pii.candidates(F.col("text")).alias("found")).select("found", pii.spans(F.col("found"), weights).alias("spans")).collect()
+        rows = df.select(pii.candidates().alias("found")).select("found", pii.spans(functions.col("found"), weights).alias("spans")).collect()
         for r in rows:
             assert [tuple(s) for s in r.spans] == [tuple(x) for x in plain_spans(r.found, weights)]
 
