@@ -221,6 +221,15 @@ def test_schedule_equals_a_heap_step_for_each_group():
         assert list(sharding.schedule(sizes, 5)) == want
 
 
+def test_schedule_of_many_equal_groups_beside_a_giant():
+    import time
+
+    began = time.time()
+    (_, first), (_, given) = sharding.schedule([(10**13, 1), (2_000, 10**9)], 16)
+    assert time.time() - began < 1 and sum(given) == 10**9 and given[first.index(1)] == 0
+    assert max(given) - min(g for s, g in enumerate(given) if not first[s]) <= 1
+
+
 def check_shards(rows, texts):
     shards, home, load = defaultdict(list), {}, Counter()
     for r in rows:
