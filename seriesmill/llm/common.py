@@ -104,9 +104,11 @@ def salts_of(keys: Sequence[str], hot: list[tuple[int, int]]) -> Column:
     return F.coalesce(F.try_element_at(known, bin_of(keys)), F.lit(1))
 
 
-def join_salted(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: list[tuple[int, int]] | None = None) -> DataFrame:
+def join_salted(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: list[tuple[int, int]] | None = None, by: Sequence[str] | None = None) -> DataFrame:
     """left join right on keys (equal names, no nulls), the rows of a hot key of left spread over several tasks.
 
+    hot: its hot bins, if known; by: the keys that they are of, if not all.
+
     Only the rows of right with a key in a hot bin are repeated, once for each part. A
     row of left has its part from its place in its own partition, so that equal rows
     spread too: left must be read from a table or a checkpoint, where places are stable.
@@ -115,7 +117,7 @@ def join_salted(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     hot = hot_bins(left, keys) if hot is None else hot
     if not hot:
         return left.join(right, keys, how)
-    salts = salts_of(keys, hot)
+    salts = salts_of(by or keys, hot)
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int")
     left = left.withColumn("_place", place).withColumn("_salt", F.pmod("_place", salts)).drop("_place")
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))

@@ -3,8 +3,8 @@
 A source's weight is its share of all tokens (words) to the power alpha, normalised.
 Alpha starts at 1 (shares as they are) and is bisected down until the weights reach a
 target entropy, as far as no source would be repeated more often than a limit allows;
-each step of the bisection tries GRID points in one aggregate over the sources, so
-their number is not bounded by the driver. A source's part of the token budget is
+the midpoints that the next LEVELS halvings can meet are tried in one aggregate over the
+sources, so their number is not bounded by the driver. A source's part of the token budget is
 realised as block permutations: whole passes over the source, each in an order of its
 own (by hash), and the start of one more, up to the budget. `at`, a row's place in its
 source's budget from 0 to 1, orders the mixture with all sources interleaved.
@@ -12,10 +12,12 @@ source's budget from 0 to 1, orders the mixture with all sources interleaved.
 Ranks come from prefix sums over hash ranges of some ROWS rows, then within them; a
 source with a third of all rows has as many ranges as it needs.
 
-Defined results: a null source is a source of its own; a text without words costs
-nothing; a source without words gets one pass; rows that are equal in doc_id, source
-and text follow each other as one unit, so repeated rows stay repeated; an empty table
-gives no rows; `mix` keeps all columns of its input.
+Defined results: a null source is a source of its own; a null or empty text has no
+words and costs nothing; a source without words gets one pass; rows that are equal in
+doc_id, source and text follow each other as one unit, so repeated rows stay repeated;
+equal hashes are ordered by doc_id, then by text hash; a very long text is one unit, and
+in the pass that is not whole it goes where it would pass the budget; an empty table
+gives no rows; `mix` keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import cut
+from seriesmill.llm.common import columns_of, cut, hot_bins, join_salted, whole_row
 
-GRID, STEPS = 32, 7
+#: Halvings of the exponent's interval whose midpoints one aggregate tries, and how many such steps.
+LEVELS, STEPS = 5, 7
 ROWS = 4_000
 ENTROPY = 0.97
 REPEATS = 4.0
@@ -73,17 +76,20 @@ def choose(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPEAT
             out[a] = math.log(z) - a * s / z, size * p ** (a - 1) / z, z
         return out
 
-    # Entropy falls and repeats fall as alpha grows: the largest alpha with enough entropy, the smallest within the limit.
-    ends = {"entropy": [0.0, 1.0], "repeats": [0.0, 1.0]}
+    # Entropy falls and repeats fall as alpha grows: bisect for the largest alpha with enough entropy and for the smallest within the limit.
+    tests = {"entropy": lambda m: m[0] >= target - 1e-12, "repeats": lambda m: m[1] > repeats + 1e-12}  # true: alpha may grow, or must
+    ends = {k: (0.0, 1.0) for k in tests}
+    edge = moments([0.0, 1.0])
+    ends = {"entropy": (1.0, 1.0) if tests["entropy"](edge[1.0]) else (0.0, 1.0), "repeats": (0.0, 1.0) if tests["repeats"](edge[0.0]) else (0.0, 0.0)}
     for _ in range(STEPS):
-        tried = {k: [lo + (hi - lo) * i / GRID for i in range(GRID + 1)] for k, (lo, hi) in ends.items()}
-        found = moments(sorted({a for x in tried.values() for a in x}))
-        enough = [a for a in tried["entropy"] if found[a][0] >= target - 1e-12]
-        k = tried["entropy"].index(max(enough)) if enough else 0
-        ends["entropy"] = [tried["entropy"][k], tried["entropy"][min(k + 1, GRID)]]
-        fine = [a for a in tried["repeats"] if found[a][1] <= repeats + 1e-12]
-        k = tried["repeats"].index(min(fine)) if fine else GRID
-        ends["repeats"] = [tried["repeats"][max(k - 1, 0)], tried["repeats"][k]]
+        points = {k: [lo + (hi - lo) * i / 2**LEVELS for i in range(2**LEVELS + 1)] for k, (lo, hi) in ends.items()}
+        found = moments(sorted({a for x in points.values() for a in x}))
+        for k, grid in points.items():
+            low, high = 0, 2**LEVELS
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if tests[k](found[grid[middle]]) else (low, middle)
+            ends[k] = grid[low], grid[high]
     alpha = max(ends["entropy"][0], ends["repeats"][1])
     z = moments([alpha])[alpha][2]
     return Mixture(alpha, z, total * (float(budget) if budget != "cover" else (most / total) ** (1 - alpha) * z), float(total))
@@ -103,7 +109,8 @@ def schedule(units: DataFrame, entropy: float = ENTROPY, repeats: float = REPEAT
     plan = sources.withColumn("part", part).withColumn("whole", whole).select(
         F.col("source").alias("s"), F.col("tokens").alias("source_tokens"), "part", "whole", F.greatest(F.lit(0.0), F.col("part") - F.col("whole") * F.col("tokens")).alias("rest"), F.ceil(F.col("units") / ROWS).alias("ranges"),
     )
-    each = units.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # As an array a null source equals itself.
+    each = join_salted(units.withColumn("k", F.array("source")), plan.withColumn("k", F.array("s")), ["k"]).drop("k", "s")
     # The pass that is not whole needs its rows only where some budget is left for it.
     last = F.when(F.col("rest") >= 1, F.col("whole")).otherwise(F.col("whole") - 1)
     each = each.where(last >= 0).withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
@@ -129,7 +136,11 @@ def units_of(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | str = 1.0, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as the mixture takes it, with all their columns."""
-    plan = schedule(units_of(docs), entropy, repeats, budget, seed).groupBy("doc_id", "source", "text_hash").agg(F.count("*").alias("_times")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_text"), "_times")
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = marked.join(plan, (F.col("_hash") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    key = [F.array("doc_id").alias("a"), F.array("source").alias("b")]  # as arrays nulls equal themselves
+    plan = schedule(units_of(docs), entropy, repeats, budget, seed).groupBy("doc_id", "source", "text_hash").agg(F.count("*").cast("int").alias("times"))
+    plan = plan.select(*key, F.col("text_hash").alias("c"), "times")
+    marked = docs.select(*key, F.xxhash64("text").alias("c"), whole_row(docs).alias("row"))
+    # Equal ids tell where equal rows may be, without another reading of the texts.
+    salted = hot_bins(docs.select(F.array("doc_id").alias("a")), ["a"])
+    joined = join_salted(marked, plan, ["a", "b", "c"], hot=salted, by=["a"])
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*columns_of(docs))
