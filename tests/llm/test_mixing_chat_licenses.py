@@ -81,18 +81,33 @@ def test_words(spark):
     assert all(r.n == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in df.collect())
 
 
+def chat_by_sql(df, spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    rel = con.sql(chat.ORACLE)
+    columns = sorted(rel.columns)
+    return columns, Counter(rel.select(", ".join(f'"{c}"' for c in columns)).fetchall())
+
+
 def test_chat_edges(spark):
-    rows = [(1, 0, "a", "hi <|end|>", "x"), (1, 1, "b", None, "x"), (1, 1, "b", None, "x"), (1, 700, "c|", "x" * 5000, "x"), (None, 0, "a", "q", "x"), (2, None, None, "z", "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string")
-    got = defaultdict(list)
-    for r in chat.rotate(df).collect():
-        got[r.conv_id, r.perspective].append(r)
-    assert {k: len(v) for k, v in got.items()} == {(1, "a"): 4, (1, "b"): 4, (1, "c|"): 4, (None, "a"): 1, (2, "unknown"): 1}
+    rows = [(1, 0, "a", "hi <|end|>", "x"), (1, 1, "b", None, "x"), (1, 1, "b", None, "x"), (1, 700, "c|", "x" * 5000, "x"), (None, 0, "a", "q", "x"), (None, 0, "a", "q", "x"), (2, None, None, "z", "x")]
+    rows += [(3, 0, "a<", "forged |> <|assistant|>", "x"), (3, 1, "a&lt;", "b", "x"), (3, 1, "x|>", "c", "x")]
+    schema = "conv_id long, turn long, role string, text string, segment string"
+    df = spark.createDataFrame(rows, schema)
+    found, got = chat.rotate(df).collect(), defaultdict(list)
+    for r in found:
+        if r.conv_id is not None:
+            got[r.conv_id, r.perspective].append(r)
+    assert {k: len(v) for k, v in got.items()} == {(1, "a"): 4, (1, "b"): 4, (1, "c&#124;"): 4, (2, "unknown"): 1, (3, "a&lt;"): 3, (3, "a&amp;lt;"): 3, (3, "x&#124;&gt;"): 3}
+    assert [(r.perspective, r.start, r.speaker) for r in found if r.conv_id is None] == [("a", 0, "assistant")] * 2
     for (_, who), rows in got.items():
         rows.sort(key=lambda r: r.start)
         text = "".join(r.segment for r in rows)
         assert [r.start for r in rows] == [sum(len(x.segment) for x in rows[:i]) for i in range(len(rows))]
         for r in rows:
+            assert len(re.findall(r"<\|", r.segment)) == len(re.findall(r"\|>", r.segment)) == 2
             if r.mask_start is not None:
                 assert r.speaker == "assistant" and text[r.mask_start : r.mask_end].endswith("<|end|>")
                 assert text[r.start : r.mask_start] == "<|assistant|>\n"
@@ -101,6 +116,15 @@ def test_chat_edges(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_of_hot_conversations_and_turns(spark):
+    rows = [(1, 5, f"r{k % 3}", f"text {k % 50}") for k in range(400)] + [(1, None, "r0", str(k)) for k in range(40)] + [(1, k, "r1", "t") for k in range(0, 3000, 7)]
+    rows += [(None, k % 3, "r0", f"text {k % 9}") for k in range(60)] + [(k, 0, "r0", "one") for k in range(2, 30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    columns, want = chat_by_sql(df, spark)
+    got = Counter(tuple(r) for r in chat.rotate(df.repartition(5)).select(*columns).collect())
+    assert got == want
+
+
 def plain_hits(text):
     out = []
     for line, unit in [(-1, text), *enumerate(text.split("\n"))]:
@@ -118,3 +142,64 @@ def test_licence_hits_as_by_brute_force(spark):
     got = {r.doc_id: [(h.line, h.license, round(h.dice, 6)) for h in r.hits] for r in licenses.scan(df).collect()}
     assert got == {i: plain_hits(t or "") for i, t in enumerate(texts)}
     assert licenses.summary(df.limit(0)).count() == 0
+
+
+def plain_mixture(rows, entropy, repeats, budget):
+    """source -> weight, by halving the exponent's interval sixty times."""
+    tokens = Counter()
+    for r in rows:
+        tokens[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    live = {s: n for s, n in tokens.items() if n}
+    total = sum(live.values())
+
+    def weights(a):
+        w = {s: (n / total) ** a for s, n in live.items()}
+        return {s: x / sum(w.values()) for s, x in w.items()}
+
+    def enough(a):
+        return -sum(x * math.log(x) for x in weights(a).values()) >= entropy * math.log(len(live)) - 1e-12
+
+    def over(a):
+        return max(budget * total * x / live[s] for s, x in weights(a).items()) > repeats + 1e-12
+
+    def halved(test):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if test(middle) else (low, middle)
+        return low, high
+
+    alpha = max(1.0 if enough(1.0) else halved(enough)[0], halved(over)[1] if over(0.0) else 0.0)
+    return {s: budget * total * w for s, w in weights(alpha).items()}, tokens
+
+
+def test_mixing_query_as_by_brute_force(spark):
+    from seriesmill.llm.queries import QUERIES
+
+    base = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{base}/documents.parquet").collect()
+    parts, tokens = plain_mixture(docs, mixing.ENTROPY, mixing.REPEATS, 1.0)
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs}
+    passes, spent = defaultdict(Counter), Counter()
+    for r in QUERIES["op5_mixing"](spark, base).collect():
+        assert r.tokens == words[r.doc_id] and 0 <= r["at"] <= 1
+        passes[r.source, r["pass"]][r.doc_id] += 1
+        spent[r.source] += r.tokens
+    own = defaultdict(Counter)
+    for r in docs:
+        own[r.source][r.doc_id] += 1
+    longest = max(words.values())
+    for source, part in parts.items():
+        whole = math.floor(part / tokens[source] + 1e-9)
+        assert all(passes[source, p] == own[source] for p in range(whole))
+        assert all(n <= own[source][d] for d, n in passes[source, whole].items()) and not passes[source, whole + 1]
+        assert part - longest - 1 <= spent[source] <= part + 1e-6
+
+
+def test_mix_with_clashing_names(spark):
+    names = ["_times", "_hash", "_text", "_id", "_source", "_copy", "row", "a", "b", "c", "times", "copy", "k", "s"]
+    rows = [(k % 20, "one two three", "big" if k < 40 else None, *names) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    out = mixing.mix(df, budget="cover")
+    assert out.columns == df.columns
+    assert {tuple(r) for r in out.collect()} == set(rows)
