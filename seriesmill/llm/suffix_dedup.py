@@ -12,7 +12,8 @@ Kempa and Kociumaka, 2019) and names stand for equality instead of order:
    belongs to one anchor, each anchor to a run of starts, one anchor in ~93 bytes.
 2. names: the bytes that an anchor's starts span get a name (64 bits of xxh3, under
    its K bytes' 64). A name met twice covers all its starts; copies in one task meet
-   before the shuffle. An anchor whose K bytes are alone needs nothing more.
+   before the shuffle. An anchor whose K bytes are alone needs nothing more. The rows
+   of a hot key are dealt by key and name, and then count as if its names were several.
 3. recursion: of the rest, starts are split into cells of CELL offsets. The bytes that
    every string of a cell shares are the key: alone, the cell is done; else the bytes
    they span are named as before.
@@ -24,9 +25,15 @@ known by its hash, so equal texts need no special care and equal rows get equal
 results. Whole texts are read; documents never join. README tells why plain triples
 over all bytes are not sorted, with figures.
 
+Strings are equal if a 64-bit hash of their shared bytes and a second one of all their
+bytes are: two of n different strings are taken for one with a probability of about
+n * n / 2**129, and texts by 96 bits. Bytes are not compared.
+
 Defined results: a null text counts as empty; a text of fewer than SPAN bytes loses
-nothing; repeated rows are repeated texts and lose all they can; an empty table gives
-no rows; columns of the input other than doc_id and text are ignored.
+nothing; repeated rows are repeated texts and lose all they can; ties have no say, as
+every occurrence of a string goes; a very long text is scanned in blocks that overlap by
+a string, its bytes are held once; an empty table gives no rows; columns of the input
+other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +48,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import cut_table
+from seriesmill.llm.common import cut_table, hot_bins, join_salted, salts_of
 
 SPAN, K, CELL = 200, 16, 16
 #: Starts of a text that are scanned at a time, and names that a task combines before it lets them go.
@@ -95,6 +102,8 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
 
 ROW = "key long, name long, text1 long, text2 long, place long, rank int"
 _NAMES = ["key", "name", "text1", "text2", "place", "rank"]
+#: Added to a rank: the row's key may be split among tasks.
+_SPLIT = 8
 # rank: 0 covered, 1 a partner for others only, 2 to be decided, 3 to be decided, of a name met twice already.
 JUDGED = "text1 long, text2 long, place long, rank int"
 
@@ -139,7 +148,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and name -> text1, text2, place, rank: those covered (0), and those to split further: undecided (2) and, one for each name met twice, partners (1).
 
     A name is met twice if it has two rows or one that says so; a key with one name
-    needs no split. Between batches the rows of one name are kept, at most two.
+    needs no split, unless it is a hot one, of which other tasks may have more. Between batches the rows of one name are kept, at most two.
     """
     rest = tuple(np.zeros(0, "i8") for _ in _NAMES)
     before = None  # the key of the last name that is done
@@ -154,25 +163,25 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, name, n = rows[0], rows[1], len(rows[0])
         first = np.concatenate([[0], np.nonzero((key[1:] != key[:-1]) | (name[1:] != name[:-1]))[0] + 1])
         size = np.diff(np.append(first, n))
-        twice = (size > 1) | (np.maximum.reduceat(rows[5], first) == 3)
+        twice = (size > 1) | (np.maximum.reduceat(rows[5] & 3, first) == 3)
         done = len(first) - more
         end = first[done] if more else n
         covered = np.nonzero(np.repeat(twice, size)[:end])[0]
         yield from told(rows, covered, np.zeros(len(covered)))
         k = key[first]
         same = np.concatenate([[before is not None and k[0] == before], k[1:] == k[:-1], [False]])
-        split = np.nonzero((same[:-1] | same[1:])[:done])[0]
+        split = np.nonzero((same[:-1] | same[1:] | (rows[5][first] >= _SPLIT))[:done])[0]
         yield from told(rows, first[split], np.where(twice[split], 1, 2))
         if done:
             before = k[done - 1]
         rest = tuple(c[end:] for c in rows)
         if len(rest[0]) > 2:  # met twice already: all but one can go
             yield from told(rest, np.arange(1, len(rest[0])), np.zeros(len(rest[0]) - 1))
-            rest = (*(c[:1] for c in rest[:5]), np.array([3], "i8"))
+            rest = (*(c[:1] for c in rest[:5]), rest[5][:1] | 3)
 
     for batch in batches:
         now = tuple(batch.column(i).to_numpy(zero_copy_only=False).astype("i8") for i in range(len(_NAMES)))
-        settled = now[5] == 0
+        settled = now[5] & 3 == 0
         yield from told(now, np.nonzero(settled)[0], np.zeros(settled.sum()))
         now = tuple(np.concatenate([old, c[~settled]]) for old, c in zip(rest, now))
         if len(now[0]):
@@ -208,6 +217,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The cells of each anchor: keyed by the bytes that all strings of the cell share, named by those that they span."""
+    seen: dict[tuple[int, int], int] = {}
     for batch in batches:
         out = []
         for a, b, where, rank, own in zip(*(c.to_pylist() for c in batch.columns)):
@@ -218,11 +228,12 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shared = own[high - cell * CELL : high - (cell * CELL + CELL - 1) + SPAN]
                 span = own[high - hi : high - lo + SPAN]
                 out.append((_digest(shared) ^ cell, _digest(span) ^ (lo << 8 | hi), a, b, _pack(place, lo, hi), 3 if rank == 1 else 2))
-        yield from _signed(out)
+        yield from _signed(_combined(out, seen))
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text1, text2, whole place, own, places, ranks) -> the single starts of the cells, keyed and named by their SPAN bytes."""
+    seen: dict[tuple[int, int], int] = {}
     for batch in batches:
         out = []
         for a, b, whole, own, places, ranks in zip(*(c.to_pylist() for c in batch.columns)):
@@ -232,17 +243,37 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for offset in range(lo, hi + 1):
                     string = own[high - offset : high - offset + SPAN]
                     out.append((_digest(string), xxhash.xxh3_64_intdigest(string, 1), a, b, _pack(place, offset, offset), 3 if rank == 1 else 2))
-        yield from _signed(out)
+        yield from _signed(_combined(out, seen))
+
 
+def _combined(rows: list[tuple], seen: dict[tuple[int, int], int]) -> Iterator[tuple]:
+    """Of a name that the task meets again the second row says so, and all later ones are settled and spread by any key."""
+    if len(seen) > COMBINED:
+        seen.clear()
+    for key, name, a, b, where, rank in rows:
+        n = seen.get((key, name), 0)
+        if n < 2:
+            seen[key, name] = n + 1
+            yield key, name, a, b, where, 3 if n else rank
+        else:
+            yield (name ^ a ^ where) & (1 << 64) - 1, name, a, b, where, 0
 
-def _signed(out: list[tuple]) -> Iterator[pa.RecordBatch]:
-    if out:
+
+def _signed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    if out := list(rows):
         two = [np.array([r[k] for r in out], "u8").view("i8") for k in (0, 1)]
         yield _batch(_NAMES, *two, *(np.array([r[k] for r in out], "i8") for k in (2, 3, 4)), np.array([r[5] for r in out], "i4"))
 
 
-def _judged(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_judge, JUDGED)
+def _judged(rows: DataFrame, probe: DataFrame | None = None) -> DataFrame:
+    """Rows that only say they are settled have spread keys of their own; those of a hot key spread by name.
+
+    probe: rows of a sample, that tell which keys are hot; results don't depend on it.
+    """
+    salts = salts_of(["key"], hot_bins(probe, ["key"]) if probe is not None else [])
+    dealt = rows.withColumn("salts", salts).withColumn("salt", F.pmod("name", "salts"))
+    dealt = dealt.withColumn("rank", F.when((F.col("salts") > 1) & (F.col("rank") > 0), F.col("rank") + _SPLIT).otherwise(F.col("rank")))
+    return dealt.repartition("key", "salt").sortWithinPartitions("key", "name").select(*_NAMES).mapInArrow(_judge, JUDGED)
 
 
 def text_key(text: Column) -> list[Column]:
@@ -254,17 +285,21 @@ def packed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_pack_texts, texts.schema)
 
 
-def covered_starts(texts: DataFrame) -> DataFrame:
-    """texts (text1, text2, text binary) -> text1, text2, place: packed runs of starts whose SPAN bytes are found elsewhere."""
+#: The share of the texts (anchors) that tells which keys are hot.
+_PROBE = 0.05
+
+
+def covered_starts(texts: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+    """texts (text1, text2, text binary) -> text1, text2, place: packed runs of starts whose SPAN bytes are found elsewhere. hot: the hot bins of text1, text2."""
     long = texts.where(F.octet_length("text") >= SPAN).select("text1", "text2", "text")
     place = ["text1", "text2", "place"]
-    names = cut_table(_judged(long.mapInArrow(_sample, ROW)))
+    names = cut_table(_judged(long.mapInArrow(_sample, ROW), long.sample(_PROBE, seed=1).mapInArrow(_sample, ROW)))
     found = names.where("rank = 0").select(*place)
     # A text with several rows has each anchor several times; its bytes are wanted once.
     wanted = names.where("rank > 0").groupBy(*place).agg(F.max("rank").alias("rank")).groupBy("text1", "text2").agg(F.collect_list("place").alias("places"), F.collect_list("rank").alias("ranks"))
-    own = packed(long).join(wanted, ["text1", "text2"]).select("text1", "text2", "text", "places", "ranks").mapInArrow(_regions, "text1 long, text2 long, place long, rank int, own binary")
+    own = join_salted(packed(long), wanted, ["text1", "text2"], hot=hot).select("text1", "text2", "text", "places", "ranks").mapInArrow(_regions, "text1 long, text2 long, place long, rank int, own binary")
     own = cut_table(own.dropDuplicates(place))
-    cells = cut_table(_judged(own.mapInArrow(_cells, ROW)))
+    cells = cut_table(_judged(own.mapInArrow(_cells, ROW), own.sample(_PROBE, seed=1).mapInArrow(_cells, ROW)))
     found = found.unionByName(cells.where("rank = 0").select(*place))
     anchor = F.shiftright("place", 16)
     left = cells.where("rank > 0").groupBy("text1", "text2", anchor.alias("at")).agg(F.collect_list("place").alias("places"), F.collect_list("rank").alias("ranks"))
@@ -291,9 +326,10 @@ def removed_runs(size: int, places: np.ndarray) -> list[tuple[int, int]]:
 def _with_runs(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the text packed, text1, text2 and places (null: none)."""
     keyed = docs.select("doc_id", *text_key(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = covered_starts(keyed.select("text1", "text2", "text"))
+    hot = hot_bins(keyed.select("text1", "text2"), ["text1", "text2"])
+    found = covered_starts(keyed.select("text1", "text2", "text"), hot)
     places = found.groupBy("text1", "text2").agg(F.collect_set("place").alias("places"))
-    return packed(keyed).join(places, ["text1", "text2"], "left")
+    return join_salted(packed(keyed), places, ["text1", "text2"], "left", hot)
 
 
 def _mapped(docs: DataFrame, schema: str, make: Callable[[bytes, list[tuple[int, int]]], tuple], kinds: list[pa.DataType]) -> DataFrame:

@@ -56,6 +56,17 @@ def test_against_brute_force(spark, seed):
     assert got == dict(enumerate(brute(texts)))
 
 
+def test_hot_texts_anchors_and_passages(spark):
+    """A third of the rows is one text, a third has one passage amid differing words, all of it hot."""
+    rnd = random.Random(11)
+    prose = lambda n: "".join(rnd.choice("abcdefgh éü\n") for _ in range(n))
+    passage, inner = prose(260), prose(90)
+    texts = [prose(700)] * 120 + [prose(rnd.randint(50, 300)) + passage + prose(rnd.randint(50, 300)) for _ in range(120)] + [prose(230) + inner + prose(230) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {r[0]: tuple(r)[1:] for r in sd.repeat_summary(df).collect()}
+    assert got == dict(enumerate(brute(texts)))
+
+
 def test_query(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     want = dict(zip((r.doc_id for r in rows), brute([r.text for r in rows])))
