@@ -7,13 +7,16 @@ stale entries are skipped. Characters without a piece fall back to their bytes.
 
 Where no piece holds a word mark after another character, no merge crosses such a
 place, so a text is encoded chunk by chunk (marks, then other characters) and the
-result of a short chunk is remembered. In each Arrow batch every chunk that the
-agenda has encoded there, and the longest text as a whole, are checked against the
-sentencepiece library (check_all: every text); a difference raises.
+result of a short chunk is remembered. In each Arrow batch the ids of every chunk that
+the agenda has encoded there, and of the longest text as a whole, and what they decode
+to, are checked against the sentencepiece library (check_all: every text); a difference
+raises.
 
-Defined results: a null text counts as empty and yields the end id alone; very long
-chunks are encoded by the agenda in O(n log n) and not remembered; repeated rows
-give repeated rows; columns of the input other than doc_id and text are ignored.
+Defined results: a null text counts as empty and yields the end id alone; of pairs of
+equal score the leftmost merges first; very long texts are encoded whole, very long
+chunks by the agenda in O(n log n) and not remembered; repeated rows give repeated rows;
+an empty table gives no rows; columns of the input other than doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ class Agenda:
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.odd: dict[str, str] = {}
-        self.unchecked: list[tuple[str, list[int]]] = []
+        self.unchecked: list[tuple[str, list[int], str]] = []
         n = lib.get_piece_size()
         special = [i for i in range(n) if lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)]
         self.byte_id = {int(lib.id_to_piece(i)[3:-1], 16): i for i in range(n) if lib.is_byte(i)}
@@ -170,7 +173,7 @@ class Agenda:
             known[c] = "".join([said[i] for i in ids])
             if (back := self._shown(ids)) != c:
                 self.odd[c] = back
-            self.unchecked.append((c, ids))
+            self.unchecked.append((c, ids, back))
         out = []
         for chunks in split:
             back = "".join(chunks) if not self.odd else "".join([self.odd.get(c, c) for c in chunks])
@@ -186,14 +189,18 @@ class Agenda:
         chunks = [x for x in self.unchecked if x[0][0] == MARK != x[0][-1]]
         alone = [x for x in self.unchecked if x[0][0] == MARK == x[0][-1]]  # marks alone, of which the next chunk would take some
         self.unchecked.clear()
-        for c, ids in alone:
+        for c, ids, _ in alone:
             if self.library.encode("a" + c.replace(MARK, " "), num_threads=1) != self.library.encode("a", num_threads=1) + list(ids):
                 raise ValueError(f"the agenda and the sentencepiece library differ on a run of {len(c)} word marks")
-        theirs = self.library.encode("".join([c for c, _ in chunks])[1:].replace(MARK, " "), num_threads=1)
-        if theirs != [*chain.from_iterable([ids for _, ids in chunks])]:
+        ids = [*chain.from_iterable([ids for _, ids, _ in chunks])]
+        if self.library.encode("".join([c for c, _, _ in chunks])[1:].replace(MARK, " "), num_threads=1) != ids:
             raise ValueError(f"the agenda and the sentencepiece library differ on some of {len(chunks)} chunks")
-        for text, (said, _) in zip(texts, self.encode(texts)):
-            if " ".join(map(str, self.library.encode(text, add_eos=True))) != said:
+        back = "".join([x for _, _, x in chunks])
+        if ids and self.library.decode(ids) != (back[1:] if back.startswith(MARK) else back).replace(MARK, " "):
+            raise ValueError(f"the agenda and the sentencepiece library decode some of {len(chunks)} chunks differently")
+        for text, (said, decoded) in zip(texts, self.encode(texts)):
+            ids = self.library.encode(text, add_eos=True)
+            if " ".join(map(str, ids)) != said or self.library.decode(ids) != decoded:
                 raise ValueError(f"the agenda and the sentencepiece library differ on a text of {len(text)} characters: {text[:80]!r}")
         self.unchecked.clear()
 
