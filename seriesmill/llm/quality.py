@@ -2,13 +2,19 @@
 
 Viterbi decoding gives the best labelling of a document's lines; the share of its
 words that lie in content lines decides whether the document stays. Weights are
-fitted on a bounded sample of labelled documents (TRAIN_DOCS rows of `labels`,
-those with the smallest hash of doc_id, whole texts) that the base rules let pass;
-without labelled documents of both kinds the fixed weights of PRIOR are used.
-
-Defined results: a null text has no words and fails the base rules; rows are judged
-one by one, so repeated rows get equal verdicts; columns of the input other than
-doc_id and text are ignored by `assess` and kept by `keep_good`.
+fitted on a bounded sample of labelled documents (TRAIN_DOCS rows of `labels`, those
+with the smallest hash of doc_id, whole texts of at most TRAIN_BYTES) that the base rules
+let pass; without labelled documents of both kinds the fixed weights of PRIOR are used.
+Labels are those of documents, so that states would never change within one; therefore
+the lines of good and bad documents are also spliced into sequences that do change, with
+the label of the document that a line is from.
+
+Defined results: a null or empty text has no words and fails the base rules; of equal
+best labellings the one with more content at its end stands; rows are judged one by
+one, so repeated rows get equal verdicts; of labels of one doc_id the greatest counts,
+of its texts the one with the smallest hash; very long texts are judged whole, a line at
+a time; an empty table gives no rows; columns of the input other than doc_id and text
+are ignored by `assess` and kept by `keep_good`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: At most so many labelled documents are fetched to the driver for the fit.
 TRAIN_DOCS = 600
+#: Longer texts (in bytes) are not fetched; 60 MB together.
+TRAIN_BYTES = 100_000
 #: At least this share of the words in content lines keeps a document.
 CONTENT_SHARE = 0.5
 MIN_WORDS, MAX_REPEATED = 50, 50  # words; per cent of words in repeated 3-word windows
@@ -112,35 +120,55 @@ def viterbi(model: Model, on: np.ndarray) -> np.ndarray:
     return np.array(states[::-1])
 
 
+def spliced(pieces: list[tuple[np.ndarray, int]], seed: int = 42) -> list[tuple[np.ndarray, np.ndarray]]:
+    """pieces (features of lines, label) -> each piece, and for each two of different labels one sequence in which runs of their lines take turns."""
+    out = [(on, np.full(len(on), label)) for on, label in pieces]
+    rng = np.random.default_rng(seed)
+    kinds = [[on for on, label in pieces if label == k] for k in (0, 1)]
+    for k in range(max(map(len, kinds)) if all(kinds) else 0):
+        parts = [(y, kinds[y][k % len(kinds[y])]) for y in (0, 1)]
+        on, labels = [], []
+        starts = [0, 0]
+        turn = int(rng.integers(2))
+        while any(starts[y] < len(x) for y, x in parts):
+            y, x = parts[turn]
+            run = x[starts[y] : starts[y] + int(rng.integers(2, 9))]
+            on.append(run)
+            labels.append(np.full(len(run), y))
+            starts[y] += len(run)
+            turn = 1 - turn
+        out.append((np.concatenate(on), np.concatenate(labels)))
+    return out
+
+
 def fit(examples: list[tuple[str, int]], steps: int = 120, rate: float = 0.3, l2: float = 1e-3, piece: int = 48) -> Model:
     """Greatest conditional likelihood by gradient ascent (Adam), drawn to PRIOR, which holds for what the sample lacks; a line's label is its document's.
 
     Documents are cut into pieces of `piece` lines for the forward and backward
     passes; every line counts.
     """
-    if len({bool(label) for _, label in examples}) < 2:
-        return PRIOR
-    seqs, labels = [], []
+    pieces = []
     for text, label in examples:
         on, _ = line_features(text or "")
-        for start in range(0, len(on), piece):
-            seqs.append(on[start : start + piece])
-            labels.append(int(bool(label)))
-    if len(set(labels)) < 2:
+        pieces += [(on[start : start + piece], int(bool(label))) for start in range(0, len(on), piece)]
+    if len({label for _, label in pieces}) < 2:
         return PRIOR
+    seqs, labels = zip(*spliced(pieces))
     n, width = len(seqs), max(map(len, seqs))
     on = np.zeros((n, width, seqs[0].shape[1]), np.int64)
     mask = np.zeros((n, width), bool)
     for i, s in enumerate(seqs):
         on[i, : len(s)], mask[i, : len(s)] = s, True
-    y = np.array(labels)
-    share = np.array([(y == k).mean() for k in (0, 1)])
-    weight = (0.5 / share)[y]  # both kinds count alike
+    y = np.zeros((n, width), np.int64)
+    for i, x in enumerate(labels):
+        y[i, : len(x)] = x
+    share = np.array([(y[mask] == k).mean() for k in (0, 1)])
+    weight = np.array([(0.5 / share)[x].mean() for x in labels])  # both kinds count alike
     emit, move = PRIOR.emit.copy(), PRIOR.move.copy()
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in (emit, move)]
-    truth = np.zeros((n, 2))
-    truth[np.arange(n), y] = 1
+    truth = np.stack([y == 0, y == 1], axis=2)
     steps_in = mask[:, 1:]
+    moved = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & steps_in).sum(axis=1) @ weight for b in (0, 1)] for a in (0, 1)])
     for step in range(1, steps + 1):
         e = emit[on].sum(axis=2) * mask[:, :, None]
         fwd, bwd = np.zeros((n, width, 2)), np.zeros((n, width, 2))
@@ -154,14 +182,14 @@ def fit(examples: list[tuple[str, int]], steps: int = 120, rate: float = 0.3, l2
             bwd[:, t] = np.where(mask[:, t + 1, None], prv, bwd[:, t + 1])
         total = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
         p = np.exp(fwd + bwd - total[:, None, None]) * mask[:, :, None]
-        gap = (truth[:, None, :] * mask[:, :, None] - p) * weight[:, None, None]
+        gap = (truth * mask[:, :, None] - p) * weight[:, None, None]
         g_emit = np.zeros_like(emit)
         for j in range(on.shape[2]):
             for k in (0, 1):
                 g_emit[:, k] += np.bincount(on[:, :, j][mask], gap[:, :, k][mask], N_FEATURES)
         pair = fwd[:, :-1, :, None] + move + (e + bwd)[:, 1:, None, :] - total[:, None, None, None]
         expected = (np.exp(np.minimum(pair, 0)) * steps_in[:, :, None, None] * weight[:, None, None, None]).sum(axis=(0, 1))
-        g_move = np.diag([(steps_in.sum(axis=1) * weight * (y == k)).sum() for k in (0, 1)]) - expected
+        g_move = moved - expected
         lines = mask.sum()
         for param, prior, grad, (m, v) in zip((emit, move), (PRIOR.emit, PRIOR.move), (g_emit, g_move), moment):
             grad = grad / lines - l2 * (param - prior)
@@ -174,7 +202,10 @@ def fit(examples: list[tuple[str, int]], steps: int = 120, rate: float = 0.3, l2
 def trained_model(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Fitted on at most `train_docs` labelled documents; the sample depends on their ids only."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("_q")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_q").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    # Of at most train_docs ids; the smallest hash picks one of several texts.
+    own = docs.where(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", F.struct(F.xxhash64("text").alias("hash"), "text").alias("text"))
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text.hash").alias("hash"), F.min("text").alias("text"), F.max("_q").alias("_q"))
+    rows = rows.select("doc_id", F.col("text.text").alias("text"), "_q").orderBy("doc_id").collect()
     # The base rules see to short and repetitive texts, whose lines may be good prose: they would teach the wrong thing.
     return fit([(r.text or "", int(r["_q"])) for r in rows if not failed(base_counts(r.text or ""))])
 

@@ -142,6 +142,37 @@ def test_quality_on_held_out_documents(spark):
     assert kept[1] > 0.99 and kept[0] < 0.05
 
 
+def test_lines_of_spliced_documents(spark):
+    """Viterbi changes state where good and bad lines of documents that the fit has not seen take turns."""
+    import numpy as np
+
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    model = quality.trained_model(docs, labels)
+    from pyspark.sql import functions as F
+
+    ranked = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    rest = ranked.limit(2000).join(ranked.limit(quality.TRAIN_DOCS).select("doc_id"), "doc_id", "left_anti").join(docs, "doc_id").collect()
+    pieces = [(quality.line_features(r.text or "")[0][:40], int(r.q)) for r in rest if not quality.failed(quality.base_counts(r.text or ""))]
+    mixed = [(on, y) for on, y in quality.spliced([p for p in pieces if len(p[0]) > 3]) if len(set(y.tolist())) == 2]
+    right = np.concatenate([quality.viterbi(model, on) == y for on, y in mixed])
+    assert len(mixed) > 100 and right.mean() > 0.9
+
+
+def test_tied_ids_give_one_model(spark):
+    rows = [(k, f"{w} " * 60 + "\n" + " ".join(f"{w}{j}" for j in range(80 + k))) for k in range(20) for w in ("some", "#### |")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    first, second = (quality.trained_model(d, labels) for d in (docs, docs.orderBy(F_desc()).repartition(7)))
+    assert (first.emit == second.emit).all() and (first.move == second.move).all()
+
+
+def F_desc():
+    from pyspark.sql import functions as F
+
+    return F.desc("text")
+
+
 def test_quality_edges(spark, odd, empty):
     model = quality.fit([])
     assert model is quality.PRIOR
