@@ -10,6 +10,6 @@ def test_marks_alone_are_checked():
     agenda.encode([f"word{' ' * k}" for k in range(1, 120)] + ["   ", " "])
     agenda.check([])
     c = sentencepiece_bpe.MARK * 3
-    agenda.unchecked.append((c, [5]))
+    agenda.unchecked.append((c, [5], c))
     with pytest.raises(ValueError, match="word marks"):
         agenda.check([])
