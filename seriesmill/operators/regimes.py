@@ -43,19 +43,17 @@ def regime_stats(labelled: DataFrame, by: Sequence[str] = (*BY, "regime"), least
 def garch_grid(r: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """by, alpha, beta, omega, ll: the Gaussian log-likelihood (without constants) of each point of the grid, variance targeted.
 
-    The variance recursion is a fold over the ordered returns of a series.
+    The variance recursion is one fold over the ordered returns of a series that carries all points.
     """
     rows = r.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "ret"))).alias("_r"), F.avg("ret").alias("_mean"), F.var_pop("ret").alias("_var"))
     rows = rows.withColumn("_x", F.transform("_r", lambda s: s["ret"] - F.col("_mean")))
-    grid = F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a in ALPHAS for b in BETAS if a + b < 0.999))
-    rows = rows.select(*by, "_x", "_var", F.inline(grid)).withColumn("omega", F.col("_var") * (1 - F.col("alpha") - F.col("beta"))).where("omega > 0")
-    first = F.struct(F.col("_var").alias("s2"), F.lit(None).cast("double").alias("prev"), F.lit(0.0).alias("ll"))
-
-    def step(acc, x):
-        s2 = F.when(acc["prev"].isNull(), acc["s2"]).otherwise(F.greatest(F.col("omega") + F.col("alpha") * acc["prev"] * acc["prev"] + F.col("beta") * acc["s2"], F.lit(1e-20)))
-        return F.struct(s2.alias("s2"), x.alias("prev"), (acc["ll"] - 0.5 * (F.ln(s2) + x * x / s2)).alias("ll"))
-
-    return rows.select(*by, "alpha", "beta", "omega", F.aggregate("_x", first, step, lambda acc: acc["ll"]).alias("ll"))
+    points = [(a, b) for a in ALPHAS for b in BETAS if a + b < 0.999]
+    start = F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), (F.col("_var") * (1 - F.lit(a) - F.lit(b))).alias("omega"), F.col("_var").alias("s2"), F.lit(None).cast("double").alias("prev"), F.lit(0.0).alias("ll")) for a, b in points))
+    step = """aggregate(_x, _start, (points, x) -> transform(points, g -> transform(
+      array(if(g.prev IS NULL, g.s2, greatest(g.omega + g.alpha * g.prev * g.prev + g.beta * g.s2, 1e-20D))), s2 ->
+      named_struct('alpha', g.alpha, 'beta', g.beta, 'omega', g.omega, 's2', s2, 'prev', x, 'll', g.ll - 0.5D * (ln(s2) + x * x / s2)))[0]))"""
+    done = rows.withColumn("_start", start).select(*by, F.inline(F.expr(step)))
+    return done.where("omega > 0").select(*by, "alpha", "beta", "omega", "ll")
 
 
 def garch_fit(r: DataFrame, by: Sequence[str] = BY, least: int = 10) -> DataFrame:

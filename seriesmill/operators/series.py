@@ -71,11 +71,18 @@ def rolling_std(column: str, width: int, by: Sequence[str] = BY) -> Column:
 
 
 def rolling_std_filled(df: DataFrame, column: str, width: int, least: int, to: str, by: Sequence[str] = BY) -> DataFrame:
-    """With at least `least` rows (2 or more); earlier places get the first value after them."""
+    """With at least `least` rows (2 or more); earlier places get the first value after them.
+
+    Two linear passes: rows count the values from behind, and those of one count are a
+    value and the gap before it. (A frame from each row to the end would be read anew for
+    each row.)
+    """
     frame = ordered(by).rowsBetween(1 - width, 0)
     raw = F.when(F.count(column).over(frame) >= max(2, least), F.stddev_samp(column).over(frame))
-    ahead = ordered(by).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn("_raw", raw).withColumn(to, F.first("_raw", ignorenulls=True).over(ahead)).drop("_raw")
+    marked = df.withColumn("_raw", raw)
+    after = F.count("_raw").over(Window.partitionBy(*by).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0))
+    whole = Window.partitionBy(*by, "_after")
+    return marked.withColumn("_after", after).withColumn(to, F.max("_raw").over(whole)).drop("_raw", "_after")
 
 
 def regime_features(px: DataFrame, short: int = 24, long: int = 72, by: Sequence[str] = BY) -> DataFrame:
@@ -102,9 +109,9 @@ def sliding_windows(df: DataFrame, column: str, width: int, by: Sequence[str] =
 
 def check_long_enough(df: DataFrame, width: int, by: Sequence[str] = BY, what: str = "window_size") -> None:
     """Raises if a series is shorter than `width`."""
-    short = df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") < width).first()
-    if short or df.isEmpty():
-        raise ValueError(f"Data length {short['n'] if short else 0} < {what} {width}")
+    least = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).first().n or 0
+    if least < width:
+        raise ValueError(f"{what} is {width}, but a series has {least} rows")
 
 
 def supervised_windows(df: DataFrame, column: str, width: int, horizons: Sequence[int], by: Sequence[str] = BY, carry: Sequence[str] = ()) -> DataFrame:

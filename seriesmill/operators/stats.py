@@ -68,10 +68,10 @@ def price_statistics(px: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def histogram(pair: DataFrame, bins: int, key: Sequence[str] = BY) -> DataFrame:
     """key, side, bin, n, density over the range that both sides share; empty bins are left out."""
-    w = Window.partitionBy(*key)
-    lo, hi = F.min("ret").over(w), F.max("ret").over(w)
+    # The range comes from partial aggregates, one row for each key, so that no raw row moves before it is counted.
+    span = pair.groupBy(*key).agg(F.min("ret").alias("_lo"), F.max("ret").alias("_hi"))
     place = F.least(F.floor((F.col("ret") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("int")
-    df = pair.withColumns({"_lo": lo, "_hi": hi}).withColumn("bin", place)
+    df = pair.join(span, list(key)).withColumn("bin", place)
     counts = df.groupBy(*key, "side", "bin").agg(F.count("*").alias("n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     total = F.sum("n").over(Window.partitionBy(*key, "side"))
     return counts.withColumn("density", F.col("n") / total / ((F.col("_hi") - F.col("_lo")) / bins)).drop("_lo", "_hi")
@@ -127,24 +127,34 @@ def ks_pvalue(ks: float, n: int, m: int) -> float:
     return float(np.clip(2 * np.sum((-1.0) ** (k - 1) * np.exp(-2 * k**2 * x**2)), 0, 1))
 
 
+#: Mean R/S of one lag over the segments of the array p: differences, their running deviations from the mean, range over deviation.
+_RESCALED = """
+transform(sequence(2, greatest(2, least({max_lag}, size(p) div 4) - 1)), lag -> named_struct('lag', lag, 'rs',
+  aggregate(
+    filter(
+      transform(sequence(0, cast(ceil((size(p) - lag) / lag) as int) - 1), seg -> transform(
+        array(transform(sequence(1, lag - 1), j -> p[seg * lag + j] - p[seg * lag + j - 1])), d -> transform(
+          array(aggregate(d, 0D, (a, x) -> a + x) / size(d)), mean -> transform(
+            array(sqrt(aggregate(d, 0D, (a, x) -> a + (x - mean) * (x - mean)) / size(d))), std -> if(std > 0,
+              aggregate(d, named_struct('at', 0D, 'lo', double('Infinity'), 'hi', double('-Infinity')),
+                (a, x) -> named_struct('at', a.at + x - mean, 'lo', least(a.lo, a.at + x - mean), 'hi', greatest(a.hi, a.at + x - mean)), a -> a.hi - a.lo) / std,
+              null))[0])[0])[0]),
+      x -> x IS NOT NULL),
+    named_struct('total', 0D, 'n', 0), (a, x) -> named_struct('total', a.total + x, 'n', a.n + 1), a -> if(a.n > 0, a.total / a.n, null))))"""
+
+
 def hurst(px: DataFrame, by: Sequence[str] = BY, max_lag: int = 100, correct: bool = False) -> DataFrame:
     """Rescaled-range exponent of price differences, in [0, 1]; 0.5 with fewer than 3 lags.
 
     As the lag of 2 never has a value, the k-th value stands against the k-th lag from
-    2 on; correct=True puts it against its own.
+    2 on; correct=True puts it against its own. A series is one array, read by index for
+    every lag, so its rows move once; it must fit in a row (bars, not ticks).
     """
-    n = F.count("*").over(Window.partitionBy(*by))
-    place = F.row_number().over(ordered(by)) - 1
-    top = F.least(F.lit(max_lag), F.floor(F.col("_n") / 4)) - 1
-    rows = px.select(*by, "typical_price", n.alias("_n"), place.alias("_i")).where("_n >= 12")
-    each = rows.withColumn("lag", F.explode(F.sequence(F.lit(2), F.greatest(top, F.lit(2)).cast("int")))).where(F.col("lag") <= top)
-    each = each.withColumns({"seg": F.floor(F.col("_i") / F.col("lag")), "pos": F.col("_i") % F.col("lag")}).where(F.col("seg") * F.col("lag") < F.col("_n") - F.col("lag"))
-    w = Window.partitionBy(*by, "lag", "seg").orderBy("pos")
-    diff = each.withColumn("d", F.col("typical_price") - F.lag("typical_price").over(w)).where("d IS NOT NULL")
-    seg = Window.partitionBy(*by, "lag", "seg")
-    dev = diff.withColumn("c", F.sum("d").over(w) - F.avg("d").over(seg) * F.row_number().over(w))
-    per = dev.groupBy(*by, "lag", "seg").agg((F.max("c") - F.min("c")).alias("r"), F.stddev_pop("d").alias("s")).where("s > 0")
-    rs = per.groupBy(*by, "lag").agg(F.avg(F.col("r") / F.col("s")).alias("rs"))
+    prices = F.transform(F.array_sort(F.collect_list(F.struct("seq", "typical_price"))), lambda s: s["typical_price"])
+    rows = px.groupBy(*by).agg(prices.alias("p"))
+    few = F.size("p") < 12
+    each = rows.select(*by, F.inline_outer(F.when(~few, F.expr(_RESCALED.format(max_lag=int(max_lag))))))
+    rs = each.where(F.col("rs").isNotNull())
     x = F.col("lag") if correct else F.row_number().over(Window.partitionBy(*by).orderBy("lag")) + 1
     fit = rs.withColumn("x", F.ln(x.cast("double"))).groupBy(*by).agg(F.count("*").alias("k"), F.regr_slope(F.ln("rs"), F.col("x")).alias("slope"))
     known = px.select(*by).distinct()
@@ -169,8 +179,8 @@ def spectral_distance(pair: DataFrame, key: Sequence[str] = BY) -> DataFrame:
     return pair.select(*key, "side", "seq", "ret").groupBy(*key).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in key) + ", spectral double")
 
 
-def mmd(pair: DataFrame, width: int = 10, batch: int | None = None, key: Sequence[str] = BY, block: int = 64) -> DataFrame:
-    """Squared maximum mean discrepancy (Gaussian kernel) of all windows of either side, or of the first `batch`.
+def mmd(pair: DataFrame, width: int = 10, key: Sequence[str] = BY, block: int = 64) -> DataFrame:
+    """Squared maximum mean discrepancy (Gaussian kernel) of all windows of either side.
 
     gamma = 1 / (mean squared distance among the real ones + 1e-8). Windows meet in
     pairs of blocks, whose sums are added up: an array holds block x block distances.
@@ -179,7 +189,6 @@ def mmd(pair: DataFrame, width: int = 10, batch: int | None = None, key: Sequenc
 
     key = list(key)
     w = sliding_windows(pair, "ret", width, [*key, "side"])
-    w = w if batch is None else w.where(F.col("win_idx") < batch)
     blocks = w.groupBy(*key, "side", F.floor(F.col("win_idx") / block).alias("block")).agg(F.collect_list("x").alias("xs"))
 
     def square(x: Column, y: Column) -> Column:

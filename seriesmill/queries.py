@@ -353,18 +353,12 @@ def spectral_distance(spark, sf_dir):
 
 @query(f"""{PAIR},
 mn AS (SELECT *, row_number() OVER (PARTITION BY series_id, side ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY series_id, side) AS c FROM pret),
-mw AS (SELECT a.series_id, a.side, a.k AS w, b.k - a.k AS pos, b.ret AS x FROM mn a JOIN mn b ON a.series_id = b.series_id AND a.side = b.side AND b.k BETWEEN a.k AND a.k + 9 WHERE a.k + 10 <= a.c AND a.k < 64),
+mw AS (SELECT a.series_id, a.side, a.k AS w, b.k - a.k AS pos, b.ret AS x FROM mn a JOIN mn b ON a.series_id = b.series_id AND a.side = b.side AND b.k BETWEEN a.k AND a.k + 9 WHERE a.k + 10 <= a.c),
 md AS (SELECT a.series_id, a.side AS s, b.side AS t, a.w AS v, b.w AS w, sum((a.x - b.x) ** 2) AS d FROM mw a JOIN mw b ON a.series_id = b.series_id AND a.pos = b.pos WHERE a.side = 'real' OR b.side = 'synth' GROUP BY ALL),
 mg AS (SELECT series_id, 1 / (avg(d) + 1e-8) AS gamma FROM md WHERE s = 'real' AND t = 'real' GROUP BY 1),
 mk AS (SELECT series_id, s, t, avg(exp(-gamma * d)) AS k FROM md JOIN mg USING (series_id) GROUP BY 1, 2, 3)
 SELECT series_id, {R6.format("sum(CASE WHEN s = t THEN k ELSE -2 * k END)")} AS mmd FROM mk GROUP BY 1""")
 def mmd(spark, sf_dir):
-    """The first 64 windows of either side, as its SQL has it; `mmd_all_windows` takes all."""
-    return rounded(T.mmd(pair_returns(spark, sf_dir), batch=64))
-
-
-@query(ORACLE["mmd"].removeprefix("WITH ").replace(" AND a.k < 64", ""))
-def mmd_all_windows(spark, sf_dir):
     return rounded(T.mmd(pair_returns(spark, sf_dir)))
 
 
