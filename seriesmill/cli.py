@@ -21,16 +21,17 @@ def parse(argv: list[str] | None = None) -> dict[str, Any]:
         if isinstance(default, bool):
             p.add_argument(*flags, dest=name, type=lambda x: str(x).lower() in ("1", "true", "yes"), nargs="?", const=True)
         elif isinstance(default, list):
-            p.add_argument(*flags, dest=name, nargs="+")
+            p.add_argument(*flags, dest=name, nargs="+", type=type(default[0]) if default else str)
         elif name == "mode":
             p.add_argument("--mode", choices=["train", "generate", "optimize", "evaluate"])
         else:
             p.add_argument(*flags, dest=name, type=type(default) if isinstance(default, (int, float)) else str)
-    return vars(p.parse_known_args(argv)[0])
+    return vars(p.parse_args(argv))
 
 
 def run(spark: SparkSession, cfg: dict[str, Any]) -> Any:
     mode = cfg["mode"]
+    spark.sparkContext.setLogLevel(cfg["log_level"])
     if mode == "train":
         return load_plugin("trainer", cfg["trainer"])(cfg, spark).train()
     if mode == "generate":

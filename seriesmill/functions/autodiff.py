@@ -78,6 +78,11 @@ class Node:
     def leaky(self, slope: float = 0.2):
         return self.apply(lambda v: np.where(v > 0, v, slope * v), lambda v, o: np.where(v > 0, 1.0, slope))
 
+    def bent(self, scale: float, low: float):
+        """scale * x above 0, scale * low * (e**x - 1) below."""
+        below = lambda v: scale * low * np.exp(np.minimum(v, 0.0))
+        return self.apply(lambda v: np.where(v > 0, scale * v, below(v) - scale * low), lambda v, o: np.where(v > 0, scale, below(v)))
+
     def exp(self):
         return self.apply(lambda v: np.exp(np.clip(v, -60, 60)), lambda v, o: o)
 
@@ -166,18 +171,29 @@ class Dense:
         return lift(x) @ self.w + self.b
 
 
+_SELU, _SELU_LOW = 1.0507009873554805, 1.6732632423543772
+#: Between layers, by name.
+ACTIVATE: dict[str, Callable[[Node], Node]] = {
+    "tanh": Node.tanh, "sigmoid": Node.sigmoid, "linear": lambda x: x, "relu": lambda x: x.leaky(0.0), "leaky": Node.leaky,
+    "elu": lambda x: x.bent(1.0, 1.0), "selu": lambda x: x.bent(_SELU, _SELU_LOW), "swish": lambda x: x * x.sigmoid(), "gelu": lambda x: x * (x * 1.702).sigmoid(),
+}
+
+
 class Mlp:
-    """Dense layers with leaky rectifiers between them."""
+    """Dense layers with an activation between them; dropout works where a generator is given to the call."""
 
-    def __init__(self, rng: np.random.Generator, sizes: Sequence[int]):
+    def __init__(self, rng: np.random.Generator, sizes: Sequence[int], activation: str = "leaky", dropout: float = 0.0):
         self.layers = [Dense(rng, a, b) for a, b in zip(sizes, sizes[1:])]
         self.params = [p for layer in self.layers for p in layer.params]
+        self.activate, self.dropout = ACTIVATE[activation], dropout
 
-    def __call__(self, x) -> Node:
+    def __call__(self, x, rng: np.random.Generator | None = None) -> Node:
         for k, layer in enumerate(self.layers):
             x = layer(x)
             if k < len(self.layers) - 1:
-                x = x.leaky()
+                x = self.activate(x)
+                if rng is not None and self.dropout:
+                    x = x * ((rng.random(x.shape) >= self.dropout) / (1 - self.dropout))
         return x
 
 

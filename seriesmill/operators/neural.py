@@ -25,7 +25,7 @@ def restore(values: list, *nets) -> None:
 
 def windows_of(x: np.ndarray, width: int) -> np.ndarray:
     if len(x) < width:
-        raise ValueError(f"Data length {len(x)} < window_size {width}")
+        raise ValueError(f"a window of {width} needs more than {len(x)} rows")
     return np.lib.stride_tricks.sliding_window_view(x, width).copy()
 
 
@@ -80,19 +80,25 @@ def _mmd(a: Node, b: Node) -> Node:
     return (aa * -gamma).exp().mean() + (d2(b, b) * -gamma).exp().mean() - 2.0 * (d2(a, b) * -gamma).exp().mean()
 
 
-def _nets(width: int, latent: int, hidden: Sequence[int], cond: int):
+def _nets(width: int, latent: int, hidden: Sequence[int], cond: int, activation: str = "tanh", judge: Sequence[int] | None = None, dropout: float = 0.0):
     rng = np.random.default_rng(0)
-    return Mlp(rng, [width + cond, *hidden, 2 * latent]), Mlp(rng, [latent + cond, *reversed(hidden), width]), Mlp(rng, [width + cond, *hidden, 1])
-
-
-def _fit_vae_gan(prices: np.ndarray, mode: str, width: int = 24, latent: int = 8, hidden: Sequence[int] = (48, 24), epochs: int = 20, batch: int = 128, kl: float = 1e-3, anneal: int = 10, mmd: float = 1e-2, rate: float = 1e-3, adv_rate: float = 1e-4, patience: int = 120, warm: int = 15, l2: float = 1e-6, seed: int = 42) -> dict[str, Any]:
-    """mode: vae_gan, vae (no discriminator) or gan (the decoder alone, no early stop)."""
-    r = np.diff(np.log(np.maximum(prices, 1e-10)))
+    judge = hidden if judge is None else judge
+    return (
+        Mlp(rng, [width + cond, *hidden, 2 * latent], activation), Mlp(rng, [latent + cond, *reversed(hidden), width], activation), Mlp(rng, [width + cond, *judge, 1], "leaky", dropout),
+    )
+
+
+def _fit_vae_gan(
+    prices: np.ndarray, mode: str, width: int = 24, latent: int = 8, hidden: Sequence[int] = (48, 24), epochs: int = 20, batch: int = 128, kl: float = 1e-3, anneal: int = 10, mmd: float = 1e-2, rate: float = 1e-3, adv_rate: float = 1e-4,
+    judge_rate: float = 1e-4, judge: Sequence[int] | None = None, dropout: float = 0.3, activation: str = "tanh", patience: int = 120, warm: int = 15, min_delta: float = 1e-7, l2: float = 1e-6, returns: bool = True, conditional: bool = True, seed: int = 42,
+) -> dict[str, Any]:
+    """mode: vae_gan, vae (no discriminator) or gan (the decoder alone, no early stop). returns: the windows are of log returns, else of prices."""
+    r = np.diff(np.log(np.maximum(prices, 1e-10))) if returns else np.asarray(prices, float)
     mean, std = float(r.mean()), float(r.std() + 1e-10)
     x = windows_of((r - mean) / std, width)
-    cond = cyclic(len(r) + 1)[1:][width - 1 :]
-    enc, dec, dis = _nets(width, latent, hidden, cond.shape[1])
-    o_vae, o_gen, o_dis = Adam([*enc.params, *dec.params], rate), Adam(dec.params, adv_rate), Adam(dis.params, adv_rate)
+    cond = cyclic(len(r) + 1)[1:][width - 1 :] if conditional else np.zeros((len(x), 0))
+    enc, dec, dis = _nets(width, latent, hidden, cond.shape[1], activation, judge, dropout)
+    o_vae, o_gen, o_dis = Adam([*enc.params, *dec.params], rate), Adam(dec.params, adv_rate), Adam(dis.params, judge_rate)
     rng, best, best_w, waited = np.random.default_rng(seed), np.inf, weights(dec), 0
     for epoch in range(1, epochs + 1):
         total = 0.0
@@ -104,24 +110,25 @@ def _fit_vae_gan(prices: np.ndarray, mode: str, width: int = 24, latent: int = 8
                 z = mu + (logvar * 0.5).exp() * z0
                 out = dec(concat([z, cond[b]]))
                 loss = ((out - x[b]) * (out - x[b])).mean()
-                loss = loss + (mu * mu + logvar.exp() - logvar - 1.0).mean() * (0.5 * kl * min(1.0, epoch / max(1, anneal))) + _mmd(Node(x[b][:64]), out[:64]) * mmd
+                loss = loss + (mu * mu + logvar.exp() - logvar - 1.0).mean() * (0.5 * kl * min(1.0, epoch / max(1, anneal))) + _mmd(Node(x[b]), out) * mmd
                 for p in dec.params:
                     loss = loss + (p * p).sum() * l2
                 total += o_vae.step(loss) * len(b)
             if mode != "vae":
                 fake = dec(np.hstack([z0, cond[b]]))
-                o_dis.step(bce(dis(np.hstack([x[b], cond[b]])), True) + bce(dis(np.hstack([fake.value, cond[b]])), False))
+                o_dis.step(bce(dis(np.hstack([x[b], cond[b]]), rng), True) + bce(dis(np.hstack([fake.value, cond[b]]), rng), False))
                 adv = o_gen.step(bce(dis(concat([dec(np.hstack([z0, cond[b]])), cond[b]])), True))
                 total += adv * len(b) if mode == "gan" else 0.0
         if mode == "gan":
             best_w = weights(dec)
-        elif total < best - 1e-7:
+        elif total < best - min_delta:
             best, best_w, waited = total, weights(dec), 0
         elif epoch > warm:
             waited += 1
             if waited >= patience:
                 break
-    return {"kind": mode, "width": width, "latent": latent, "hidden": list(hidden), "mean": mean, "std": std, "weights": best_w, "anchors": prices[:: max(1, len(prices) // 256)].tolist()}
+    model = {"kind": mode, "width": width, "latent": latent, "hidden": list(hidden), "activation": activation, "cond": cond.shape[1], "returns": returns}
+    return model | {"mean": mean, "std": std, "weights": best_w, "anchors": np.asarray(prices, float).tolist()}
 
 
 def fit_vae_gan(prices: np.ndarray, **options) -> dict[str, Any]:
@@ -136,21 +143,22 @@ def fit_gan(prices: np.ndarray, **options) -> dict[str, Any]:
     return _fit_vae_gan(prices, "gan", **options)
 
 
-def _from_windows(w: np.ndarray, n: int, anchors: Sequence[float], rng: np.random.Generator, p0: float | None) -> np.ndarray:
-    """Windows of returns without their means, each a path from a drawn anchor that is kept as its first price."""
+def _from_windows(w: np.ndarray, n: int, anchors: Sequence[float], rng: np.random.Generator, p0: float | None, keep: bool = True) -> np.ndarray:
+    """Windows of returns without their means, each a path from an anchor drawn from all prices; keep: the anchor is its first price."""
     w = w - w.mean(axis=1, keepdims=True)
     starts = rng.choice(np.asarray(anchors), len(w)) if p0 is None else np.full(len(w), p0)
     paths = starts[:, None] * np.exp(np.concatenate([np.zeros((len(w), 1)), np.cumsum(w, axis=1)], axis=1))
-    return paths.ravel()[:n]
+    return (paths if keep else paths[:, 1:]).ravel()[:n]
 
 
 def sample_vae_gan(model: dict[str, Any], n: int, rng: np.random.Generator, p0: float | None = None) -> np.ndarray:
-    _, dec, _ = _nets(model["width"], model["latent"], model["hidden"], 4)
+    _, dec, _ = _nets(model["width"], model["latent"], model["hidden"], model["cond"], model["activation"])
     restore(model["weights"], dec)
-    count = -(-n // (model["width"] + 1))
-    cond = cyclic(count * (model["width"] + 1))[model["width"] :: model["width"] + 1]
+    length = model["width"] + 1 if model["returns"] else model["width"]
+    count = -(-n // length)
+    cond = cyclic(count * length)[length - 1 :: length] if model["cond"] else np.zeros((count, 0))
     out = dec(np.hstack([rng.standard_normal((count, model["latent"])), cond])).value * model["std"] + model["mean"]
-    return _from_windows(out, n, model["anchors"], rng, p0)
+    return _from_windows(out, n, model["anchors"], rng, p0) if model["returns"] else out.ravel()[:n]
 
 
 # TimeGAN: embedder, recovery, supervisor, generator, discriminator.
@@ -210,16 +218,16 @@ def fit_timegan(prices: np.ndarray, width: int = 12, hidden: int = 12, latent: i
         score = float(np.abs(made.mean(axis=0) - val.mean(axis=0)).mean() + np.abs(made.std(axis=0) - val.std(axis=0)).mean())
         if score < best:
             best, kept = score, weights(*nets.values())
-    return {"kind": "timegan", "width": width, "hidden": hidden, "latent": latent, "lo": lo, "span": span, "weights": kept, "anchors": prices[:: max(1, len(prices) // 256)].tolist()}
+    return {"kind": "timegan", "width": width, "hidden": hidden, "latent": latent, "lo": lo, "span": span, "weights": kept, "anchors": np.asarray(prices, float).tolist()}
 
 
 def sample_timegan(model: dict[str, Any], n: int, rng: np.random.Generator, p0: float | None = None) -> np.ndarray:
     nets = _time_nets(model["hidden"], model["latent"])
     restore(model["weights"], *nets.values())
-    count = -(-n // (model["width"] + 1))
+    count = -(-n // model["width"])
     z = [rng.random((count, model["latent"])) for _ in range(model["width"])]
     out = np.hstack([v.value for v in nets["rec"](nets["sup"](nets["gen"](z)))]) * model["span"] + model["lo"]
-    return _from_windows(out, n, model["anchors"], rng, p0)
+    return _from_windows(out, n, model["anchors"], rng, p0, keep=False)
 
 
 # The predictor of the utility tests.
@@ -227,12 +235,12 @@ def sample_timegan(model: dict[str, Any], n: int, rng: np.random.Generator, p0:
 
 def pairs_of(prices: np.ndarray, width: int, horizon: int) -> tuple[np.ndarray, np.ndarray]:
     if len(prices) < width + horizon:
-        raise ValueError(f"Data length {len(prices)} < window_size {width} + horizon {horizon}")
+        raise ValueError(f"a window of {width} and a horizon of {horizon} need more than {len(prices)} rows")
     w = windows_of(prices, width)[: len(prices) - width - horizon + 1]
     return w, prices[width + horizon - 1 :]
 
 
-def train_predictor(train: np.ndarray, others: dict[str, np.ndarray], width: int = 24, horizon: int = 1, epochs: int = 5, batch: int = 64, hidden: int = 16, seed: int = 0) -> dict[str, float]:
+def train_predictor(train: np.ndarray, others: dict[str, np.ndarray], width: int = 24, horizon: int = 1, epochs: int = 5, batch: int = 64, hidden: int = 32, seed: int = 0) -> dict[str, float]:
     """LSTM, a dense layer and one output, on standardised prices -> mean absolute error of each set."""
     x, y = pairs_of(train, width, horizon)
     mean, std = float(train.mean()), float(train.std() + 1e-12)
@@ -243,7 +251,7 @@ def train_predictor(train: np.ndarray, others: dict[str, np.ndarray], width: int
 
     def predict(w: np.ndarray) -> Node:
         s = scale(w)
-        return out(mid(net([s[:, t : t + 1] for t in range(width)])).leaky(0.0)) + s[:, -1:]
+        return out(mid(net([s[:, t : t + 1] for t in range(width)])).leaky(0.0))
 
     for _ in range(epochs):
         for b in batches(rng, len(x), batch):

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Callable, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 import numpy as np
@@ -21,18 +22,30 @@ from seriesmill.operators import generators as G
 from seriesmill.operators import stats as T
 
 FAILED = 999.0
-# The grids of the sweeps, gene bounds, activations, and the stages of both searches.
+# The grids of the sweeps, the bounds of genes, activations by number, and which settings each stage adds.
 HYBRID_GRID = {"k": [3, 4, 5, 6], "block": [15, 20, 30, 45, 60], "scale": [0.7, 0.8, 0.85, 0.9, 1.0]}
 RANDOM_GRID = {"k": [2, 3, 4, 5, 6, 7, 8], "block": [10, 15, 20, 25, 30, 40, 50, 60, 80], "smooth": [0.0, 0.1, 0.2, 0.3, 0.5, 0.7], "least": [2, 3, 5, 8], "kind": ["diag", "tied"], "windows": [[6, 24, 48], [4, 12, 36], [8, 32, 64], [6, 16, 48]]}
 DEFAULT_HYBRID = {"k": 4, "block": 30, "smooth": 0.3, "least": 3, "kind": "diag", "windows": [6, 24, 48]}
-ACTIVATIONS = ("relu", "elu", "selu", "tanh", "sigmoid", "swish", "gelu", "leaky_relu")
-GENES = {"latent": (2, 16, "int"), "hidden": (16, 64, "int"), "width": (12, 36, "int"), "adv_rate": (1e-5, 1e-2, "log"), "rate": (1e-5, 1e-2, "log"), "kl": (1e-5, 1e-1, "log"), "mmd": (1e-4, 1e-1, "log"), "batch": (32, 256, "int")}
-STAGES = [{"name": "Architecture", "parameters": ["latent", "hidden", "width"]}, {"name": "GAN dynamics", "parameters": ["adv_rate"]}, {"name": "Training dynamics", "parameters": ["rate", "batch"]}, {"name": "Regularization", "parameters": ["kl", "mmd"]}]
+ACTIVATIONS = ("tanh", "relu", "elu", "selu", "swish", "gelu", "sigmoid", "linear")
+GENES = {
+    "latent_dim": (4, 64, "int"), "intermediate_layers": (1, 4, "int"), "initial_layer_size": (16, 128, "int"), "window_size": (48, 288, "int"),
+    "discriminator_lr": (1e-5, 1e-2, "log"), "generator_lr": (1e-5, 1e-2, "log"), "disc_dropout": (0.0, 0.5, "float"),
+    "learning_rate": (1e-5, 1e-2, "log"), "activation": (0, 7, "int"), "batch_size": (32, 256, "int"),
+    "l2_reg": (1e-7, 1e-3, "log"), "kl_weight": (1e-5, 1e-1, "log"), "kl_anneal_epochs": (5, 50, "int"), "mmd_lambda": (1e-4, 1e-1, "log"),
+    "early_patience": (20, 200, "int"), "min_delta": (1e-10, 1e-6, "log"),
+}
+_STAGE_GENES = [
+    ["latent_dim", "intermediate_layers", "initial_layer_size", "window_size"], ["discriminator_lr", "generator_lr", "disc_dropout"], ["learning_rate", "activation", "batch_size"],
+    ["l2_reg", "kl_weight", "kl_anneal_epochs", "mmd_lambda"], ["early_patience", "min_delta"],
+]
+STAGES = [{"name": f"stage {k}", "parameters": genes} for k, genes in enumerate(_STAGE_GENES, 1)]
+#: A series that is sent as one row has at most so many prices (16 MB).
+MAX_ROWS = 2_000_000
 _FLAT, _AC, _DIST = None, {"js_divergence": 1.0, "ks_statistic": 1.0, "ac_lag1": 3.0, "ac_lag5": 5.0, "ac_lag24": 5.0, "hurst_diff": 2.0, "vol_cluster": 4.0, "spectral": 4.0, "skew_diff": 1.0, "kurt_diff": 1.0, "std_ratio": 1.0}, {"js_divergence": 5.0, "ks_statistic": 4.0, "ac_lag1": 2.0, "ac_lag5": 2.0, "ac_lag24": 2.0, "hurst_diff": 2.0, "vol_cluster": 2.0, "spectral": 2.0, "skew_diff": 4.0, "kurt_diff": 3.0, "std_ratio": 4.0}
 SCRIPT_STAGES = [
-    {"name": "Broad search", "size": 40, "generations": 8, "seeds": 3, "scale": 0.3, "elite": 4, "tournament": 3, "weights": _FLAT}, {"name": "AC structure focus", "size": 30, "generations": 8, "seeds": 3, "scale": 0.2, "elite": 4, "tournament": 3, "weights": _AC},
-    {"name": "Distribution focus", "size": 30, "generations": 6, "seeds": 3, "scale": 0.15, "elite": 4, "tournament": 3, "weights": _DIST}, {"name": "Fine-tune", "size": 25, "generations": 8, "seeds": 4, "scale": 0.08, "elite": 5, "tournament": 3, "weights": _FLAT},
-    {"name": "Final polish", "size": 20, "generations": 6, "seeds": 5, "scale": 0.03, "elite": 5, "tournament": 2, "weights": _FLAT},
+    {"name": "wide", "size": 40, "generations": 8, "seeds": 3, "scale": 0.3, "elite": 4, "tournament": 3, "weights": _FLAT}, {"name": "correlations first", "size": 30, "generations": 8, "seeds": 3, "scale": 0.2, "elite": 4, "tournament": 3, "weights": _AC},
+    {"name": "shape first", "size": 30, "generations": 6, "seeds": 3, "scale": 0.15, "elite": 4, "tournament": 3, "weights": _DIST}, {"name": "narrow", "size": 25, "generations": 8, "seeds": 4, "scale": 0.08, "elite": 5, "tournament": 3, "weights": _FLAT},
+    {"name": "last steps", "size": 20, "generations": 6, "seeds": 5, "scale": 0.03, "elite": 5, "tournament": 2, "weights": _FLAT},
 ]
 
 
@@ -94,10 +107,12 @@ def rescaled(p: np.ndarray, scale: float) -> np.ndarray:
     return p if scale == 1.0 else p[0] * np.exp(np.concatenate([[0.0], np.cumsum(np.diff(np.log(np.maximum(p, 1e-10))) * scale)]))
 
 
-def multi_seed(real: np.ndarray, generate: Callable[[int], np.ndarray], seeds: Sequence[int], weights: dict[str, float] | None = None) -> tuple[float, float, dict[str, float]]:
-    """Mean and deviation of the score over seeds, and mean terms; seeds that fail are left out, none gives infinity."""
+def multi_seed(real: np.ndarray, generate: Callable[[int], np.ndarray], seeds: Sequence[int], weights: dict[str, float] | None = None, until: float | None = None) -> tuple[float, float, dict[str, float]]:
+    """Mean and deviation of the score over seeds, and mean terms; seeds that fail, or would begin after `until`, are left out, none gives infinity."""
     scores, every = [], []
     for seed in seeds:
+        if until and time.time() > until:
+            break
         try:
             terms = array_terms(real, padded(np.asarray(generate(seed), float), len(real)))
         except Exception:
@@ -147,18 +162,23 @@ def gene_columns(genes: dict[str, tuple[float, float, str]], seed: Column, i: Co
     return out
 
 
-def evaluate(configs: DataFrame, fit_px: DataFrame, real_px: DataFrame, generator: str = "hybrid", n_seeds: int = 3, weights: dict[str, float] | None = None) -> DataFrame:
+def _as_row(df: DataFrame, name: str, column: str = "typical_price") -> DataFrame:
+    """A series as one row of an array; an error beyond MAX_ROWS."""
+    rows = df.limit(MAX_ROWS + 1)
+    array = F.transform(F.array_sort(F.collect_list(F.struct("seq", column))), lambda s: s[column])
+    return rows.groupBy().agg(F.when(F.count("*") <= MAX_ROWS, array).otherwise(F.raise_error(F.lit(f"a series of more than {MAX_ROWS} rows"))).alias(name))
+
+
+def evaluate(configs: DataFrame, fit_px: DataFrame, real_px: DataFrame, generator: str = "hybrid", n_seeds: int = 3, weights: dict[str, float] | None = None, limit_s: float | None = None) -> DataFrame:
     """configs (config_id, config JSON) -> config_id, config, score, score_std, terms, wall_s, error: one group for each configuration.
 
-    The two price series are one row of arrays, so their size is a series', not the table's.
+    The two price series are one row of arrays, of checked size. limit_s: after so many
+    seconds a configuration gets no further seed.
     """
-    arrays = lambda df, name: df.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "typical_price"))), lambda s: s["typical_price"]).alias(name))
-    rows = configs.select("config_id", "config").crossJoin(F.broadcast(arrays(fit_px, "fit"))).crossJoin(F.broadcast(arrays(real_px, "real")))  # one row each
+    rows = configs.select("config_id", "config").crossJoin(F.broadcast(_as_row(fit_px, "fit"))).crossJoin(F.broadcast(_as_row(real_px, "real")))  # one row each
     maker, sampler = G.FITS[generator]
 
     def run(frames):
-        import time
-
         for pdf in frames:
             for cid, body, fit, real in zip(pdf["config_id"], pdf["config"], pdf["fit"], pdf["real"]):
                 began, score, std, terms, error = time.time(), float("inf"), None, {}, None
@@ -167,7 +187,7 @@ def evaluate(configs: DataFrame, fit_px: DataFrame, real_px: DataFrame, generato
                     scale = options.pop("scale", 1.0)
                     model = maker(np.asarray(fit, float), **options)
                     p0 = float(real[0])
-                    score, std, terms = multi_seed(np.asarray(real, float), lambda seed: rescaled(sampler(model, len(real), np.random.default_rng(seed), p0=p0), scale), range(n_seeds), weights)
+                    score, std, terms = multi_seed(np.asarray(real, float), lambda seed: rescaled(sampler(model, len(real), np.random.default_rng(seed), p0=p0), scale), range(n_seeds), weights, began + limit_s if limit_s else None)
                 except Exception as e:
                     error = f"{type(e).__name__}: {e}"
                 yield pd.DataFrame([[cid, body, score if np.isfinite(score) else FAILED, std, json.dumps(terms), time.time() - began, error]], columns=["config_id", "config", "score", "score_std", "terms", "wall_s", "error"])
@@ -175,6 +195,62 @@ def evaluate(configs: DataFrame, fit_px: DataFrame, real_px: DataFrame, generato
     return rows.repartition("config_id").mapInPandas(run, "config_id long, config string, score double, score_std double, terms string, wall_s double, error string")
 
 
+def net_options(settings: Mapping[str, Any]) -> dict[str, Any]:
+    """The options of a network fit, from settings or genes; an activation may be a number."""
+    activation = settings["activation"]
+    size, div, layers = int(settings["initial_layer_size"]), settings["layer_size_divisor"], int(settings["intermediate_layers"])
+    return {
+        "width": int(settings["window_size"]), "latent": int(settings["latent_dim"]), "hidden": [max(4, size // div**i) for i in range(layers)], "epochs": int(settings["epochs"]), "batch": int(settings["batch_size"]),
+        "activation": activation if isinstance(activation, str) else ACTIVATIONS[int(activation)], "kl": settings["kl_weight"], "anneal": int(settings["kl_anneal_epochs"]), "mmd": settings["mmd_lambda"], "l2": settings["l2_reg"],
+        "rate": settings["learning_rate"], "adv_rate": settings["generator_lr"], "judge_rate": settings["discriminator_lr"], "judge": settings["disc_layers"], "dropout": settings["disc_dropout"],
+        "patience": int(settings["early_patience"]), "warm": int(settings["start_from_epoch"]), "min_delta": settings["min_delta"], "returns": settings["use_returns"], "conditional": settings["conditional"],
+    }
+
+
+def utility(configs: DataFrame, train_px: DataFrame, val_px: DataFrame, settings: Mapping[str, Any], kind: str = "vae_gan", predictor: Callable[..., dict[str, float]] | None = None) -> DataFrame:
+    """configs (config_id, config JSON) -> config_id, score, error: a predictor's validation error with synthetic rows in its training data less that without.
+
+    Each configuration is a row: a network is trained, samples n_synthetic_samples rows on
+    the date grid, these and the real ones are sorted by date (real ones win), and the
+    predictor is trained on both. Negative: the synthetic rows help. A failure scores FAILED.
+    """
+    from seriesmill.operators import neural
+
+    known, learn = dict(settings), predictor or neural.train_predictor
+    own = ["typical_price", "unix"]
+    train = train_px.withColumn("unix", F.unix_seconds(F.col("ts").cast("timestamp")))
+    rows = configs.select("config_id", "config")
+    for column, part in zip(own, ("train", "dates")):
+        rows = rows.crossJoin(F.broadcast(_as_row(train, part, column)))  # one row each, of checked size
+    rows = rows.crossJoin(F.broadcast(_as_row(val_px, "val")))
+    start = int(train_px.sparkSession.sql(f"SELECT unix_seconds(cast('{known['start_datetime']}' as timestamp))").first()[0])
+    window, horizon, epochs, batch = (int(known[k]) for k in ("window_size", "horizon", "predictor_epochs", "eval_batch_size"))
+
+    def error_of(train: np.ndarray, val: np.ndarray) -> float:
+        return learn(train, {"val": val}, window, horizon, epochs, batch, seed=0)["val"]
+
+    def run(frames):
+        baseline: dict[int, float] = {}  # once for each task: all its rows have the same series
+        for pdf in frames:
+            for cid, body, prices, dates, val in zip(pdf["config_id"], pdf["config"], pdf["train"], pdf["dates"], pdf["val"]):
+                score, error = FAILED, None
+                try:
+                    real, dates, val = np.asarray(prices, float), np.asarray(dates, np.int64), np.asarray(val, float)
+                    if 0 not in baseline:
+                        baseline[0] = error_of(real, val)
+                    model = G.FITS[kind][0](real, **net_options(known | json.loads(body)))
+                    fake = G.FITS[kind][1](model, int(known["n_synthetic_samples"]), np.random.default_rng(int(known["seed"])))
+                    when = start + np.arange(len(fake)) * 3600 * int(known["interval_hours"])
+                    fresh = ~np.isin(when, dates)
+                    both, order = np.concatenate([real, fake[fresh]]), np.argsort(np.concatenate([dates, when[fresh]]), kind="stable")
+                    score = error_of(both[order], val) - baseline[0]
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame([[cid, score if np.isfinite(score) else FAILED, error]], columns=["config_id", "score", "error"])
+
+    return rows.repartition("config_id").mapInPandas(run, "config_id long, score double, error string")
+
+
 def top(results: DataFrame, k: int = 10) -> DataFrame:
     return results.orderBy("score", "config_id").limit(k)
 
@@ -183,14 +259,16 @@ def grid_sweep(spark: SparkSession, fit_px: DataFrame, real_px: DataFrame, grid:
     """All points with `first` seeds, then those within `margin` of the best with all of them: early stopping without an order."""
     grid = grid or HYBRID_GRID
     points = configs_frame(spark, [dict(zip(grid, v)) for v in itertools.product(*grid.values())])
-    rough = evaluate(points, fit_px, real_px, "hybrid", first).persist()
-    best = rough.agg(F.min("score")).first()[0]
+    scored = evaluate(points, fit_px, real_px, "hybrid", first).collect()  # one row for each point of the grid
+    rough = spark.createDataFrame(scored, "config_id long, config string, score double, score_std double, terms string, wall_s double, error string")
+    best = min(r.score for r in scored)
     near = rough.where(F.col("score") <= best * margin).select("config_id", "config")
     return evaluate(near, fit_px, real_px, "hybrid", n_seeds).withColumn("stopped", F.lit(False)).unionByName(rough.where(F.col("score") > best * margin).withColumn("stopped", F.lit(True)))
 
 
-def random_sweep(spark: SparkSession, fit_px: DataFrame, real_px: DataFrame, n: int = 300, n_seeds: int = 3, seed: int = 42) -> DataFrame:
-    return evaluate(configs_frame(spark, random_configs(RANDOM_GRID, n, seed, DEFAULT_HYBRID)), fit_px, real_px, "hybrid", n_seeds)
+def random_sweep(spark: SparkSession, fit_px: DataFrame, real_px: DataFrame, n: int = 300, n_seeds: int = 3, seed: int = 42, limit_s: float | None = 60.0) -> DataFrame:
+    """limit_s: the time that a configuration has for its seeds."""
+    return evaluate(configs_frame(spark, random_configs(RANDOM_GRID, n, seed, DEFAULT_HYBRID)), fit_px, real_px, "hybrid", n_seeds, limit_s=limit_s)
 
 
 def generator_samples(fit_px: DataFrame, real_px: DataFrame, kinds: dict[str, tuple[str, dict[str, Any]]], n_seeds: int = 10) -> DataFrame:

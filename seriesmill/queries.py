@@ -549,9 +549,18 @@ def garch_grid(spark, sf_dir):
     return rounded(g.withColumn("ll", F.round("ll", 3)))
 
 
-@query()
+_GARCH = ORACLE["garch_grid"].rsplit("\nSELECT", 1)[0]
+_OMEGA = "CASE WHEN n < 10 THEN var ELSE coalesce(omega, var * 0.05::DOUBLE) END"
+_LONG = f"CASE WHEN n < 10 THEN var ELSE ({_OMEGA}) / greatest(1 - coalesce(a, 0.05::DOUBLE) - coalesce(b, 0.9::DOUBLE), 0.001::DOUBLE) END"
+
+
+@query(f"""{_GARCH},
+best AS (SELECT series_id, a, b, omega FROM gl WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ll DESC, a, b) = 1),
+size AS (SELECT series_id, count(*) AS n, var_pop(ret) AS var FROM ret GROUP BY 1)
+SELECT series_id, n, {R6.format('var')} AS var, CASE WHEN n < 10 THEN 0.05::DOUBLE ELSE coalesce(a, 0.05::DOUBLE) END AS alpha, CASE WHEN n < 10 THEN 0.9::DOUBLE ELSE coalesce(b, 0.9::DOUBLE) END AS beta,
+{R6.format(_OMEGA)} AS omega, {R6.format(_LONG)} AS long_run_var FROM size LEFT JOIN best USING (series_id)""")
 def garch_fit(spark, sf_dir):
-    return regimes.garch_fit(returns_of(spark, sf_dir))
+    return rounded(regimes.garch_fit(returns_of(spark, sf_dir)))
 
 
 @query(f"""g AS (SELECT unnest(range(1000)) AS i), d AS (SELECT i, {_DRAW.format("'7:n:' || i || ':a'")} AS a, {_DRAW.format("'7:n:' || i || ':b'")} AS b, {_DRAW.format("'7:i:' || i")} % 150 AS k, {_DRAW.format("'7:r:' || i")} / 4294967296.0::DOUBLE AS u FROM g)
@@ -686,9 +695,17 @@ def _each_series(spark, sf_dir, run: Callable[[list[DataFrame]], DataFrame]) ->
     return out
 
 
-@query()
+_WALK = ORACLE["markov_walk"].rsplit("\nSELECT", 1)[0]
+
+
+@query(f"""{_WALK},
+wr AS (SELECT w.series_id, seed, step, ret FROM walk w JOIN pool p ON p.series_id = w.series_id AND p.state = w.state AND p.k = {_DRAW.format("seed || ':value:' || step")} % p.n),
+an AS (SELECT series_id, count(*) AS n FROM px GROUP BY 1),
+a0 AS (SELECT s.series_id, seed, p.typical_price AS p0 FROM (SELECT DISTINCT series_id, seed FROM wr) s JOIN an USING (series_id) JOIN px p ON p.series_id = s.series_id AND p.seq = {_DRAW.format("seed || ':anchor'")} % n)
+SELECT series_id, seed, 0::BIGINT AS seq, round(p0, 4) AS typical_price FROM a0
+UNION ALL SELECT series_id, seed, step + 1, round(exp(ln(p0) + sum(ret) OVER (PARTITION BY series_id, seed ORDER BY step)), 4) FROM wr JOIN a0 USING (series_id, seed) WHERE step < 59""")
 def walk_prices(spark, sf_dir):
-    return G.walk_prices(G.markov_walk(_states(spark, sf_dir), 60, n_seeds=2), src.all_series(spark, sf_dir))
+    return rounded(G.walk_prices(G.markov_walk(_states(spark, sf_dir), 60, n_seeds=2), src.all_series(spark, sf_dir)), 4)
 
 
 @query()

@@ -26,10 +26,15 @@ class Plugin(Protocol):
 
 
 class Base:
-    """Holds a session and settings."""
+    """Holds a session and settings; plugin_params are those that a plugin reads, with their defaults."""
 
+    reads: tuple[str, ...] = ()
     plugin_params: dict[str, Any] = {}
 
+    def __init_subclass__(cls, **options: Any):
+        super().__init_subclass__(**options)
+        cls.plugin_params = {k: DEFAULTS[k] for k in cls.reads}
+
     def __init__(self, config: dict[str, Any] | None = None, spark: SparkSession | None = None):
         self.spark = spark or SparkSession.getActiveSession()
         self.cfg = dict(self.plugin_params) | (config or {})
@@ -47,19 +52,36 @@ class Base:
         return src.resolve(self.spark, source, self.cfg, key)
 
 
-def _net_options(cfg: Base) -> dict[str, Any]:
-    """The settings of a network fit."""
-    size, div, layers = cfg.option("initial_layer_size"), cfg.option("layer_size_divisor"), cfg.option("intermediate_layers")
-    return {
-        "width": cfg.option("window_size"), "latent": cfg.option("latent_dim"), "hidden": [max(4, size // div**i) for i in range(layers)], "epochs": cfg.option("epochs"), "batch": cfg.option("batch_size"), "kl": cfg.option("kl_weight"),
-        "anneal": cfg.option("kl_anneal_epochs"), "mmd": cfg.option("mmd_lambda"), "rate": cfg.option("learning_rate"), "adv_rate": cfg.option("generator_lr"), "patience": cfg.option("early_patience"), "l2": cfg.option("l2_reg"),
-    }
+def _external(folder: str | None):
+    """train_predictor of folder/predictor.py, to be run in place of the built-in one; its text goes to the executors."""
+    if not folder:
+        return None
+    with open(f"{folder}/predictor.py") as f:
+        code = f.read()
+
+    def learn(*args: Any, **options: Any) -> dict[str, float]:
+        names: dict[str, Any] = {"__name__": "predictor"}
+        exec(compile(code, "predictor.py", "exec"), names)
+        return names["train_predictor"](*args, **options)
+
+    return learn
+
+
+def _net_options(plugin: Base) -> dict[str, Any]:
+    return search.net_options({k: plugin.option(k) for k in NETWORK})
+
+
+#: The settings of a network fit.
+NETWORK = (
+    "window_size", "latent_dim", "activation", "intermediate_layers", "initial_layer_size", "layer_size_divisor", "epochs", "batch_size", "kl_weight", "kl_anneal_epochs", "mmd_lambda", "l2_reg", "learning_rate", "generator_lr",
+    "discriminator_lr", "disc_layers", "disc_dropout", "early_patience", "start_from_epoch", "min_delta", "use_returns", "conditional",
+)
 
 
 class Trainer(Base):
     """Fits a network to each series; the model is a row of a Parquet table."""
 
-    kind = "vae_gan"
+    kind, reads = "vae_gan", NETWORK
 
     def train(self, data: Any = None, save_to: str | None = None) -> DataFrame:
         px = self.series(data)
@@ -80,6 +102,7 @@ class Generator(Base):
 
     kind = ""
     fits: dict[str, str] = {}
+    reads = ("start_datetime", "interval_hours", "n_regimes")
 
     def load_model(self, path: str) -> DataFrame:
         return self.spark.read.parquet(path)
@@ -98,6 +121,8 @@ class Generator(Base):
 
 
 class BlockBootstrap(Generator):
+    reads = ("start_datetime", "interval_hours", "block_size")
+
     def _prices(self, seed: int, n: int) -> DataFrame:
         px = self.series()
         S.check_long_enough(px, self.option("block_size") + 1, what="block_size")
@@ -105,25 +130,27 @@ class BlockBootstrap(Generator):
 
 
 class GraphWalk(Generator):
+    reads = ("start_datetime", "interval_hours", "n_bins")
+
     def _prices(self, seed: int, n: int) -> DataFrame:
         px = self.series()
         states = graph.quantile_states(S.log_returns(px), self.option("n_bins"))
         if states.where("n_states < 3").first():
-            raise ValueError("Too few unique bins, data may be constant")
+            raise ValueError("a series has fewer than 3 states: its returns hardly differ")
         return G.walk_prices(G.markov_walk(states, n, 1, seed), px)
 
 
 class Network(Generator):
     """Samples a trained model; without one it trains first."""
 
-    kind = "vae_gan"
+    kind, reads = "vae_gan", ("start_datetime", "interval_hours", *NETWORK)
 
     def fit(self) -> DataFrame:
         return G.fit(self.series(), self.kind, _net_options(self))
 
 
 class TimeGan(Generator):
-    kind, fits = "timegan", {"epochs": "epochs"}
+    kind, fits, reads = "timegan", {"epochs": "epochs"}, ("start_datetime", "interval_hours", "epochs")
 
 
 class Distribution(Base):
@@ -138,39 +165,48 @@ class Distribution(Base):
 
 
 class Predictive(Base):
+    reads = ("window_size", "horizon", "eval_epochs", "eval_batch_size", "predictor_dir")
+
     def evaluate(self, synthetic: Any = None, train: Any = None, val: Any = None, test: Any = None) -> DataFrame:
         own = [self.series(x, k) for x, k in ((train, "real_train"), (val, "real_val"), (test, "real_test"), (synthetic, "synthetic_data"))]
-        return evaluate.predictive(*own, window=self.option("window_size"), horizon=self.option("horizon"), epochs=self.option("eval_epochs"), batch=self.option("eval_batch_size"))
+        return evaluate.predictive(*own, window=self.option("window_size"), horizon=self.option("horizon"), epochs=self.option("eval_epochs"), batch=self.option("eval_batch_size"), predictor=_external(self.option("predictor_dir")))
 
 
 class Augmentation(Base):
+    reads = ("window_size", "eval_epochs", "eval_batch_size", "predictor_root")
+
     def evaluate(self) -> DataFrame:
         own = [self.series(None, k) for k in ("d4_file", "d5_file", "d6_file", "synthetic_data")]
-        return evaluate.augmentation(*own, baseline_path=self.cfg.get("baseline_file"), window=self.option("window_size"), epochs=self.option("eval_epochs"), batch=self.option("eval_batch_size"))
+        return evaluate.augmentation(*own, baseline_path=self.cfg.get("baseline_file"), window=self.option("window_size"), epochs=self.option("eval_epochs"), batch=self.option("eval_batch_size"), predictor=_external(self.option("predictor_root")))
 
 
 class Genetic(Base):
-    """Stages of a genetic search over a network's settings, scored against held-out real prices; state can be resumed."""
+    """Stages of a genetic search over a network's settings; the fitness is what synthetic rows add to a predictor's validation error. State can be resumed."""
+
+    reads = (
+        *NETWORK, "population_size", "n_generations", "crossover_prob", "mutation_prob", "optimization_patience", "optimization_resume", "optimization_resume_file", "seed", "train_epochs", "predictor_epochs", "n_synthetic_samples",
+        "start_datetime", "interval_hours", "horizon", "eval_batch_size", "predictor_root",
+    )
 
     def optimize(self) -> dict[str, Any]:
-        fit, real = self.series(), self.series(None, "real_data")
-        epochs = self.option("train_epochs") or max(1, self.option("epochs") // 4)
+        train, val = self.series(None, "d4_file") if self.cfg.get("d4_file") else self.series(), self.series(None, "d5_file") if self.cfg.get("d5_file") else self.series(None, "real_data")
+        settings = {k: self.option(k) for k in self.reads}
+        settings["epochs"] = settings["train_epochs"] or max(settings["epochs"] // 4, 50)
         file = self.option("optimization_resume_file")
         state = src.load_model(self.spark, file) if self.option("optimization_resume") and src.path_exists(self.spark, file) else None
 
         def fitness(configs: DataFrame) -> DataFrame:
-            import json
-
-            full = F.udf(lambda c: json.dumps(json.loads(c) | {"epochs": epochs, "hidden": [int(json.loads(c)["hidden"])]}), "string")
-            return search.evaluate(configs.withColumn("config", full("config")), fit, real, "vae_gan", 2)
+            return search.utility(configs, train, val, settings, predictor=_external(self.option("predictor_root")))
 
         log = self.cfg.get("meta_training_log")
         out = search.staged_ga(
-            self.spark, fitness, size=self.option("population_size"), generations=self.option("n_generations"), cross=self.option("crossover_prob"), mutate=self.option("mutation_prob"), patience=self.option("optimization_patience"), seed=self.option("seed"),
+            self.spark, fitness, genes=self.cfg.get("genes"), stages=self.cfg.get("stages"), size=self.option("population_size"), generations=self.option("n_generations"), cross=self.option("crossover_prob"), mutate=self.option("mutation_prob"), patience=self.option("optimization_patience"), seed=self.option("seed"),
             resume=state, log=(lambda r: self.spark.createDataFrame([r]).write.mode("append").parquet(log)) if log else None,
         )
         if self.option("optimization_resume"):
             src.save_model(self.spark, out, file)
+        if isinstance(out["best"].get("activation"), int):
+            out["best"]["activation"] = search.ACTIVATIONS[out["best"]["activation"]]
         return out
 
 

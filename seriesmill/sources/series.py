@@ -71,7 +71,7 @@ def resolve(spark: SparkSession, source: Any, config: dict[str, Any] | None = No
         return load_many(spark, [source])
     if isinstance(source, (list, tuple)) and source:
         return load_many(spark, source)
-    raise ValueError(f"Provide a DataFrame, CSV path, or set cfg['{key}']")
+    raise ValueError(f"no series: neither a DataFrame nor a path was given, and the setting {key} is empty")
 
 
 def date_grid(spark: SparkSession, n: int, start: str = "2020-01-01 00:00:00", interval_hours: int = 4) -> DataFrame:

@@ -206,6 +206,57 @@ def test_staged_search_improves_and_resumes(spark):
     assert again["score"] == out["score"]
 
 
+def test_search_space():
+    assert len(search.GENES) == 16 and len(search.STAGES) == 5
+    assert sorted(p for s in search.STAGES for p in s["parameters"]) == sorted(search.GENES)
+    assert [search.ACTIVATIONS[k] for k in (0, 1, 7)] == ["tanh", "relu", "linear"]
+    assert set(search.GENES) <= set(config.DEFAULTS) and set(registry.NETWORK) <= set(config.DEFAULTS)
+
+
+def test_activations():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3, 4))
+    for name, f in ad.ACTIVATE.items():
+        node = ad.lift(x.copy())
+        f(node).sum().backward()
+        moved = x.copy()
+        moved[1, 2] += 1e-6
+        slope = (f(ad.lift(moved)).value.sum() - f(ad.lift(x)).value.sum()) / 1e-6
+        assert abs(node.grad[1, 2] - slope) < 1e-4, name
+
+
+def test_fitness_is_what_synthetic_rows_add(spark):
+    train, val = walk(spark, 120, 1), walk(spark, 60, 2)
+    settings = config.DEFAULTS | {"window_size": 8, "epochs": 1, "predictor_epochs": 1, "n_synthetic_samples": 50, "eval_batch_size": 32, "start_datetime": "2040-01-01 00:00:00"}
+
+    def predictor(train, others, *args, **options):
+        return {"val": float(len(train))}
+
+    configs = search.configs_frame(spark, [{"latent_dim": 3, "activation": 4}, {"window_size": 500}, {"use_returns": False, "conditional": False, "disc_layers": [5]}])
+    rows = search.utility(configs, train, val, settings, predictor=predictor).orderBy("config_id").collect()
+    assert [r.error is None for r in rows] == [True, False, True] and rows[1].score == search.FAILED
+    assert rows[0].score == rows[2].score == 50
+    same = search.utility(configs, train, val, settings | {"start_datetime": "2020-01-01 00:00:00"}, predictor=predictor).orderBy("config_id").first()
+    assert 0 <= same.score < 50  # of equal dates the real row stays
+    own = search.utility(configs, train, val, settings).orderBy("config_id").first()
+    assert own.error is None and abs(own.score) < search.FAILED
+
+
+def test_genetic_plugin(spark, csv, tmp_path):
+    own = {"train_data": [csv], "real_data": csv, "window_size": 8, "train_epochs": 1, "predictor_epochs": 1, "n_synthetic_samples": 30, "population_size": 2, "n_generations": 1}
+    genes = {"latent_dim": (2, 4, "int"), "activation": (0, 7, "int")}
+    out = registry.load_plugin("optimizer", "ga_optimizer")(own | {"genes": genes, "stages": [{"name": "one", "parameters": list(genes)}]}, spark).optimize()
+    assert out["score"] < search.FAILED and out["best"]["activation"] in search.ACTIVATIONS
+    assert all(registry.load_plugin(k, n).plugin_params for k, n in registry.REGISTRY if n not in ("distribution_evaluator",))
+
+
+def test_external_predictor(spark, tmp_path):
+    (tmp_path / "predictor.py").write_text("def train_predictor(train, others, *args, **options):\n    return {k: 0.5 for k in ('train', *others)}\n")
+    parts = [walk(spark, n, k) for k, n in enumerate((60, 40, 40, 30))]
+    r = evaluate.predictive(*parts, window=10, epochs=1, predictor=registry._external(str(tmp_path))).first()
+    assert r.baseline_mae_val == r.augmented_mae_test == 0.5
+
+
 def test_script_search(spark):
     best, config_ = search.script_ga(spark, walk(spark, 200, 1), walk(spark, 120, 2), [{"size": 4, "generations": 1, "seeds": 1, "scale": 0.2, "elite": 2, "tournament": 2, "weights": None}])
     assert best < search.FAILED and set(config_) == set(search.RANDOM_GRID)
@@ -245,6 +296,8 @@ def test_plugins(spark, csv, tmp_path):
 def test_settings_and_command_line(spark, csv, tmp_path):
     flags = cli.parse(["--mode", "generate", "--use_returns", "False", "--seed", "3"])
     assert flags == {"mode": "generate", "use_returns": False, "seed": 3}
+    with pytest.raises(SystemExit):
+        cli.parse(["--sede", "3"])
     assert config.merged({"seed": 1, "epochs": 5}, flags)["seed"] == 3 and config.merged({"epochs": 5})["epochs"] == 5
     out = str(tmp_path / "out.csv")
     cli.main(["--mode", "generate", "--generator", "block_bootstrap_generator", "--train_data", csv, "--n_samples", "40", "--output_file", out])
