@@ -268,56 +268,41 @@ def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from block(False)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two ascending arrays without repeats."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    same = int(np.count_nonzero(both[1:] == both[:-1]))
-    return same / (len(both) - same) if len(both) else 1.0
+def alike(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Which pairs of sets have a Jaccard of LIKE or more: common shingles are counted by products of 0-1 matrices of `width` shingles."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner, flat = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]
+    first = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+    count = np.diff(np.append(np.nonzero(first)[0], len(flat)))
+    several = np.repeat(count > 1, count)  # a shingle of one set adds nothing
+    owner, column = owner[several], np.cumsum(first[several]) - 1
+    common = np.zeros((len(sets), len(sets)))
+    ends = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + width + 1, width))
+    for k, (start, end) in enumerate(zip(ends, ends[1:])):
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[start:end], column[start:end] - k * width] = 1
+        common += part @ part.T
+    return common * (1 + LIKE) >= LIKE * (sizes[:, None] + sizes[None, :]) - 1e-6
 
 
 def _like(nodes: list[int], sets: list[np.ndarray], known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect the members of one block with a Jaccard of LIKE or more, at most one for each member.
-
-    Members within 1 - LIKE of an earlier leader join its ball, others lead one of their
-    own. The distance is a metric, so a member of a ball whose distance from the leader
-    is less than that of the newcomer by more than 1 - LIKE needs no look. Members of one
-    known label are connected already.
-    """
-    root, far, balls, links = list(range(len(sets))), 1 - LIKE + 1e-9, [], []
-    first: dict[int, int] = {}
-    if known:
-        root = [first.setdefault(x, i) for i, x in enumerate(known)]
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def unite(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            links.append((nodes[i], nodes[j]))
-
-    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        home, n = None, len(sets[i])
-        for ball in balls:
-            if ball[-1][2] < n * LIKE - 1e-9:  # the longest is too short
-                continue
-            lead = ball[0][0]
-            d = 1 - jaccard(sets[i], sets[lead])
-            if d <= far:
-                unite(i, lead)
-                home = home or (ball, d)
-            for j, dj, m in ball[1:]:
-                if find(j) != find(i) and d <= far + dj + 1e-9 and m >= n * LIKE - 1e-9 and 1 - jaccard(sets[i], sets[j]) <= far:
-                    unite(i, j)
-        if home:
-            home[0].append((i, home[1], n))
-        else:
-            balls.append([(i, 0.0, n)])
+    """Links that connect the members of one block that are alike, at most one for each member; those of one known label are connected already."""
+    near, label = alike(sets), np.array(nodes if known is None else known, np.int64)
+    near |= label[:, None] == label[None, :]
+    seen, links = np.zeros(len(sets), bool), []
+    for i in range(len(sets)):
+        if seen[i]:
+            continue
+        seen[i], open_ = True, [i]
+        while open_:
+            u = open_.pop()
+            for v in np.nonzero(near[u] & ~seen)[0].tolist():
+                seen[v] = True
+                open_.append(v)
+                if label[u] != label[v]:
+                    links.append((nodes[u], nodes[v]))
     return links
 
 
@@ -327,7 +312,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     opener = zstandard.ZstdDecompressor()
 
     def close() -> Iterator[pa.RecordBatch]:
-        if found := _like(nodes, sets, known):
+        if len(nodes) > 1 and (found := _like(nodes, sets, known)):
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
