@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesmill.functions import columns as C
 from seriesmill.operators.series import BY
 
 # The grid of the GARCH fit.
@@ -33,7 +34,7 @@ def regime_stats(labelled: DataFrame, by: Sequence[str] = (*BY, "regime"), least
     vol = F.avg("vol") if "vol" in labelled.columns else F.lit(None).cast("double")
     out = r.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("std"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"),
-        F.coalesce(F.nanvl(F.corr("_prev", "ret"), F.lit(0.0)), F.lit(0.0)).alias("ar1"), vol.alias("vol_mean"), F.first("_all").alias("_all"),
+        C.zero_if_missing(F.corr("_prev", "ret")).alias("ar1"), vol.alias("vol_mean"), F.first("_all").alias("_all"),
     )
     few = F.col("n") < least
     plain = {"mean": F.lit(0.0), "skew": F.lit(0.0), "ar1": F.lit(0.0), "std": F.col("_all"), "vol_mean": F.col("_all"), "kurt": F.lit(3.0)}

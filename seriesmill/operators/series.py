@@ -13,6 +13,7 @@ BY = ("series_id",)
 
 
 def ordered(by: Sequence[str] = BY, order: str = "seq"):
+    """A series in its order. One task sorts one series: meant for bars, which time bounds, and not for ticks."""
     return Window.partitionBy(*by).orderBy(order)
 
 

@@ -130,8 +130,11 @@ def save_metrics(df: DataFrame, path: str, form: str = "csv", append: bool = Fal
     writer.option("header", True).format(form).save(path)
 
 
-def metrics_table(df: DataFrame, name: str = "metrics") -> None:
-    """The fact table, replaced, under a name that SQL can use."""
+def metrics_table(df: DataFrame, name: str = "metrics", path: str | None = None) -> None:
+    """The fact table, replaced, under a name that SQL can use; with a path it is stored there, and the name reads it."""
+    if path:
+        df.write.mode("overwrite").parquet(path)
+        df = df.sparkSession.read.parquet(path)
     df.createOrReplaceTempView(name)
 
 

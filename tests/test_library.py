@@ -206,6 +206,25 @@ def test_staged_search_improves_and_resumes(spark):
     assert again["score"] == out["score"]
 
 
+def test_stored_metrics_table(spark, tmp_path):
+    for k in (1, 2):
+        src.metrics_table(spark.range(k).select(F.col("id").alias("x")), "stored_facts", str(tmp_path / "facts"))
+    assert spark.sql("SELECT count(*) AS n FROM stored_facts").first().n == 2 == spark.read.parquet(str(tmp_path / "facts")).count()
+
+
+def test_back_fill_with_gaps(spark):
+    rows = [("a", k, None if k in (4, 5, 11) else float(k % 4)) for k in range(12)] + [("b", 0, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, seq long, ret double")
+    got = {(r.series_id, r.seq): r.vol for r in S.rolling_std_filled(df, "ret", 3, 3, "vol").collect()}
+    raw = {}
+    for s, k, _ in rows:
+        own = [x for t, j, x in rows if t == s and k - 2 <= j <= k and x is not None]
+        raw[s, k] = float(np.std(own, ddof=1)) if len(own) == 3 else None
+    for s, k, _ in rows:
+        want = next((raw[s, j] for j in range(k, 12) if raw.get((s, j)) is not None), None)
+        assert (got[s, k] is None and want is None) or abs(got[s, k] - want) < 1e-12
+
+
 def test_search_space():
     assert len(search.GENES) == 16 and len(search.STAGES) == 5
     assert sorted(p for s in search.STAGES for p in s["parameters"]) == sorted(search.GENES)
