@@ -232,14 +232,14 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n, split) sorted by key -> key, grp, node, n, whole.
+    """Rows (key, node, n, split, early) sorted by key -> key, grp, node, n, whole, early.
 
     A bucket with two nodes or more is cut in blocks of bounded size, in the order of
     the rows; equal blocks of several tables have the same grp. whole: the block is
     all of its bucket. One block at a time is held.
     """
     held: list[tuple[int, int]] = []
-    now, room, cut_before, split_now = None, 0, False, False
+    now, room, cut_before, split_now, early_now = None, 0, False, False, False
 
     def block(more: bool) -> Iterator[pa.RecordBatch]:
         """more: the bucket goes on."""
@@ -247,19 +247,19 @@ def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(held) > 1 or (held and not whole):
             nodes = np.array([x for x, _ in held], np.int64)
             grp = signed(xxhash.xxh64_intdigest(np.sort(nodes).tobytes()))
-            columns = [np.full(len(held), now, np.int64), np.full(len(held), grp, np.int64), nodes, np.array([n for _, n in held], np.int32), np.full(len(held), whole)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "grp", "node", "n", "whole"])
+            columns = [np.full(len(held), now, np.int64), np.full(len(held), grp, np.int64), nodes, np.array([n for _, n in held], np.int32), np.full(len(held), whole), np.full(len(held), early_now)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "grp", "node", "n", "whole", "early"])
 
     for batch in batches:
-        key, node, n, split = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        key, node, n, split, early = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         alone = np.ones(len(key), bool)  # a bucket of one node, not split, has nothing to say
         if len(key) > 2:
             alone[1:-1] = (key[1:-1] != key[:-2]) & (key[1:-1] != key[2:])
         alone[[0, -1]] = False
-        for k, x, size, s in zip(*(c[~(alone & ~split)].tolist() for c in (key, node, n, split))):
+        for k, x, size, s, e in zip(*(c[~(alone & ~split)].tolist() for c in (key, node, n, split, early))):
             if k != now:
                 yield from block(False)
-                held, now, room, cut_before, split_now = [], k, 0, False, s
+                held, now, room, cut_before, split_now, early_now = [], k, 0, False, s, e
             elif len(held) >= MEMBERS or room + size > SHINGLES:
                 yield from block(True)
                 held, room, cut_before = [], 0, True
@@ -343,13 +343,19 @@ def _links_of(groups: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _crossing(wide: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of buckets that were cut: pairs of blocks with members of different labels whose sizes let them be alike -> grp, node, label."""
-    marked = cut(wide.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "grp", "node", "n", F.coalesce("label", "node").alias("label")))
+    """Of buckets that were cut: what is left to compare -> grp, node, label.
+
+    That is pairs of blocks with members of different labels whose sizes let them be
+    alike, and the blocks with different labels that were not compared within.
+    """
+    marked = cut(wide.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "grp", "node", "n", "early", F.coalesce("label", "node").alias("label")))
+    inner = marked.groupBy("key", "grp").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.max("early").alias("early")).where("NOT early AND first <> last")
+    inner = inner.select(F.col("grp").alias("both"), "grp").distinct()
     blocks = marked.groupBy("key", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last"))
     left, right = (blocks.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("grp", "low", "high", "first", "last"))) for s in "ab")
     apart = ~((F.col("first_a") == F.col("last_a")) & (F.col("first_b") == F.col("last_b")) & (F.col("first_a") == F.col("first_b")))
     near = (F.col("high_a") >= F.col("low_b") * LIKE - 1e-9) & (F.col("high_b") >= F.col("low_a") * LIKE - 1e-9)
-    pairs = left.join(right, "key").where((F.col("grp_a") < F.col("grp_b")) & apart & near).select(F.xxhash64("grp_a", "grp_b").alias("both"), F.explode(F.array("grp_a", "grp_b")).alias("grp")).distinct()
+    pairs = left.join(right, "key").where((F.col("grp_a") < F.col("grp_b")) & apart & near).select(F.xxhash64("grp_a", "grp_b").alias("both"), F.explode(F.array("grp_a", "grp_b")).alias("grp")).distinct().unionByName(inner)
     return pairs.join(marked.select("grp", "node", "label").distinct(), "grp").select(F.col("both").alias("grp"), "node", "label").distinct()
 
 
@@ -371,18 +377,19 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = cut_table(keyed.mapInArrow(_nodes, "id long, no_id boolean, text_hash long, tie long, node long, n int, keys array<long>"))
     marked = marked.withColumn("doc_id", F.when(~F.col("no_id"), F.col("id")))
     distinct = cut_table(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(*_ROW)).alias("chosen"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")))
-    buckets = distinct.select(F.explode("keys").alias("key"), "node", "n")
+    # Of buckets that are cut only those of the first group of tables are compared at once: they mostly settle the rest.
+    buckets = distinct.select(F.posexplode("keys").alias("table", "key"), "node", "n").select("key", "node", "n", (F.col("table") < _TABLES).alias("early"))
     salts = salts_of(["key"], hot_bins(buckets, ["key"]))
-    dealt = buckets.select("key", "node", "n", (salts > 1).alias("split"), F.pmod("node", salts).alias("salt")).repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "node")
-    blocks = cut_table(dealt.select("key", "node", "n", "split").mapInArrow(_memberships, "key long, grp long, node long, n int, whole boolean"))
+    dealt = buckets.select("key", "node", "n", (salts > 1).alias("split"), "early", F.pmod("node", salts).alias("salt")).repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "node")
+    blocks = cut_table(dealt.select("key", "node", "n", "split", "early").mapInArrow(_memberships, "key long, grp long, node long, n int, whole boolean, early boolean"))
     # The text of each node that shares a bucket: that of one row.
     needed = blocks.select("node").distinct().join(distinct.select("node", "chosen"), "node").select("chosen.*", F.col("node").alias("wanted"))
     texts = keyed.select(*_ROW, F.col("text").cast("binary").alias("packed")).mapInArrow(_pack, "id long, no_id boolean, text_hash long, tie long, packed binary")
     texts = join_salted(texts, needed, _ROW, hot=hot_bins(marked, _ROW)).dropDuplicates(_ROW)
     texts = cut_table(texts.select(F.col("wanted").alias("node"), "packed"))
-    links = cut(_links_of(blocks.select("grp", "node", F.col("node").alias("label")).distinct(), texts).distinct())
+    links = cut(_links_of(blocks.where("whole OR early").select("grp", "node", F.col("node").alias("label")).distinct(), texts).distinct())
     labels = connected_components(links)
-    wide = blocks.where("NOT whole").select("key", "grp", "node", "n")
+    wide = blocks.where("NOT whole").select("key", "grp", "node", "n", "early")
     if not wide.isEmpty():
         more = _links_of(_crossing(wide, labels), texts)
         labels = connected_components(links.unionByName(more).distinct())

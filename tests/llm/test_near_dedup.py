@@ -93,12 +93,13 @@ def test_links_of_a_block_as_by_brute_force():
 def test_blocks_of_buckets_read_in_batches_of_any_size(size, monkeypatch):
     monkeypatch.setattr(simhash, "MEMBERS", 4)
     rows = sorted((k, n, 100 * k + n, k == 9) for k, m in ((1, 1), (2, 2), (3, 4), (4, 5), (5, 1), (6, 13), (9, 1)) for n in range(m))
-    columns = list(zip(*((k, node, n, s) for k, n, node, s in rows)))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size], t) for c, t in zip(columns, kinds)], names=["key", "node", "n", "split"]) for i in range(0, len(rows), size)]
+    columns = list(zip(*((k, node, n, s, k % 2 == 0) for k, n, node, s in rows)))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size], t) for c, t in zip(columns, kinds)], names=["key", "node", "n", "split", "early"]) for i in range(0, len(rows), size)]
     got = {}
     for b in simhash._memberships(iter(batches)):
-        for key, grp, node, _, whole in zip(*(c.to_pylist() for c in b.columns)):
+        for key, grp, node, _, whole, early in zip(*(c.to_pylist() for c in b.columns)):
+            assert early == (key % 2 == 0)
             got.setdefault((key, grp, whole), []).append(node)
     sizes = sorted((key, whole, len(nodes)) for (key, _, whole), nodes in got.items())
     assert sizes == [(2, True, 2), (3, True, 4), (4, False, 1), (4, False, 4), (6, False, 1), (6, False, 4), (6, False, 4), (6, False, 4), (9, False, 1)]
