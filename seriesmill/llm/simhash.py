@@ -24,13 +24,13 @@ their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.llm.common import columns_of, connected_components, cut, cut_table, hot_bins, join_salted, salts_of, whole_row
@@ -43,6 +43,8 @@ BLOCK = 192
 WORDS, LIKE, GROUPS = 5, 0.8, 6
 #: Members of a bucket that are compared in one block: at most so many, with so many shingles together.
 MEMBERS, SHINGLES = 256, 4_000_000
+#: Members of a cut bucket that go to one task for the rest of its comparisons, in tiles of MEMBERS: at most so many, with so many shingles.
+WIDE_MEMBERS, WIDE_SHINGLES = 4096, 1_000_000
 _TABLES = 2 ** (RADIUS + 1) - 1
 _FLIP, _MULT = np.random.default_rng(SEED).integers(0, 1 << 64, (2, GROUPS * _TABLES), np.uint64) | np.array([[0], [1]], np.uint64)
 
@@ -289,6 +291,8 @@ def alike(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
 
 def _like(nodes: list[int], sets: list[np.ndarray], known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect the members of one block that are alike, at most one for each member; those of one known label are connected already."""
+    if len(sets) > MEMBERS:
+        return _like_tiled(nodes, sets, nodes if known is None else known)
     near, label = alike(sets), np.array(nodes if known is None else known, np.int64)
     near |= label[:, None] == label[None, :]
     seen, links = np.zeros(len(sets), bool), []
@@ -306,6 +310,31 @@ def _like(nodes: list[int], sets: list[np.ndarray], known: list[int] | None = No
     return links
 
 
+def _able(sets: list[np.ndarray]) -> np.ndarray:
+    """The places of the sets that may be alike to another one here: only shingles of several sets can be common, and no set is smaller than the least."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.bincount(np.repeat(np.arange(len(sets)), sizes)[count[which] > 1], minlength=len(sets))
+    return np.nonzero(shared >= LIKE * (sizes + np.maximum(sizes.min(), shared) - shared) - 1e-6)[0]
+
+
+def _like_tiled(nodes: list[int], sets: list[np.ndarray], known: list[int]) -> list[tuple[int, int]]:
+    """`_like` for many members: every two tiles of MEMBERS / 2, but for those of one label, which links so far add to."""
+    label, half, links = np.array(known, np.int64), MEMBERS // 2, []
+    able = _able(sets)
+    able = able[np.argsort(label[able], kind="stable")]
+    tiles = [able[k : k + half] for k in range(0, len(able), half)]
+    for a, b in combinations(tiles, 2) if len(tiles) > 1 else ((t, t[:0]) for t in tiles):
+        both = np.concatenate([a, b])
+        if (label[both] == label[both[0]]).all():
+            continue
+        place = {nodes[i]: i for i in both}
+        for u, v in _like([nodes[i] for i in both], [sets[i] for i in both], label[both].tolist()):
+            links.append((u, v))
+            label[label == label[place[v]]] = label[place[u]]
+    return links
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (grp, node, label, packed text) sorted by grp: the links of each group. One group, of bounded size, at a time is held."""
     now, nodes, sets, known = None, [], [], []
@@ -342,21 +371,27 @@ def _links_of(groups: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verified, "a long, b long")
 
 
-def _crossing(wide: DataFrame, labels: DataFrame) -> DataFrame:
+def _crossing(wide: DataFrame, labels: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
     """Of buckets that were cut: what is left to compare -> grp, node, label.
 
-    That is pairs of blocks with members of different labels whose sizes let them be
-    alike, and the blocks with different labels that were not compared within.
+    The members of a bucket are dealt anew, in order of their labels, into blocks for one
+    task each, so one row for each member as long as they fit in one. Blocks with
+    different labels are compared within, and pairs of them where their labels differ
+    and their sizes let them be alike. hot: the bins of keys that are spread.
     """
-    marked = cut(wide.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "grp", "node", "n", "early", F.coalesce("label", "node").alias("label")))
-    inner = marked.groupBy("key", "grp").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.max("early").alias("early")).where("NOT early AND first <> last")
-    inner = inner.select(F.col("grp").alias("both"), "grp").distinct()
+    salts = salts_of(["key"], hot)
+    marked = wide.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"), F.pmod("node", salts).alias("salt"))
+    order = Window.partitionBy("key", "salt").orderBy("label", "n", "node")
+    place, room = F.row_number().over(order) - 1, F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    grp = F.xxhash64("key", "salt", F.floor(place / WIDE_MEMBERS), F.floor(room / WIDE_SHINGLES))
+    marked = cut(marked.select("key", grp.alias("grp"), "node", "n", "label"))
     blocks = marked.groupBy("key", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last"))
+    inner = blocks.where("first <> last").select(F.col("grp").alias("both"), "grp")
     left, right = (blocks.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("grp", "low", "high", "first", "last"))) for s in "ab")
     apart = ~((F.col("first_a") == F.col("last_a")) & (F.col("first_b") == F.col("last_b")) & (F.col("first_a") == F.col("first_b")))
     near = (F.col("high_a") >= F.col("low_b") * LIKE - 1e-9) & (F.col("high_b") >= F.col("low_a") * LIKE - 1e-9)
-    pairs = left.join(right, "key").where((F.col("grp_a") < F.col("grp_b")) & apart & near).select(F.xxhash64("grp_a", "grp_b").alias("both"), F.explode(F.array("grp_a", "grp_b")).alias("grp")).distinct().unionByName(inner)
-    return pairs.join(marked.select("grp", "node", "label").distinct(), "grp").select(F.col("both").alias("grp"), "node", "label").distinct()
+    pairs = left.join(right, "key").where((F.col("grp_a") < F.col("grp_b")) & apart & near).select(F.xxhash64("grp_a", "grp_b").alias("both"), F.explode(F.array("grp_a", "grp_b")).alias("grp")).unionByName(inner)
+    return pairs.join(marked.select("grp", "node", "label"), "grp").select(F.col("both").alias("grp"), "node", "label")
 
 
 #: What names a row: its doc_id, with null told apart, its text and its other columns, both as hashes.
@@ -379,7 +414,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = cut_table(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(*_ROW)).alias("chosen"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")))
     # Of buckets that are cut only those of the first group of tables are compared at once: they mostly settle the rest.
     buckets = distinct.select(F.posexplode("keys").alias("table", "key"), "node", "n").select("key", "node", "n", (F.col("table") < _TABLES).alias("early"))
-    salts = salts_of(["key"], hot_bins(buckets, ["key"]))
+    hot = hot_bins(buckets, ["key"])
+    salts = salts_of(["key"], hot)
     dealt = buckets.select("key", "node", "n", (salts > 1).alias("split"), "early", F.pmod("node", salts).alias("salt")).repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "node")
     blocks = cut_table(dealt.select("key", "node", "n", "split", "early").mapInArrow(_memberships, "key long, grp long, node long, n int, whole boolean, early boolean"))
     # The text of each node that shares a bucket: that of one row.
@@ -389,9 +425,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = cut_table(texts.select(F.col("wanted").alias("node"), "packed"))
     links = cut(_links_of(blocks.where("whole OR early").select("grp", "node", F.col("node").alias("label")).distinct(), texts).distinct())
     labels = connected_components(links)
-    wide = blocks.where("NOT whole").select("key", "grp", "node", "n", "early")
+    wide = blocks.where("NOT whole").select("key", "node", "n")
     if not wide.isEmpty():
-        more = _links_of(_crossing(wide, labels), texts)
+        more = _links_of(_crossing(wide, labels, hot), texts)
         labels = connected_components(links.unionByName(more).distinct())
     return marked.select(*_ROW, "doc_id", "node"), named_classes(distinct, "node", labels)
 
@@ -405,8 +441,8 @@ def similar(docs: DataFrame) -> DataFrame:
     over each of GROUPS groups of _TABLES min-hashes: a pair that differs in RADIUS or
     fewer of a group's coordinates shares a bucket for sure. At 0.8 exactly no group is
     so close, nor lucky beyond it, with probability 4e-6. Candidates are then checked on
-    the whole sets: in blocks of a bucket first, and between the blocks of a bucket that
-    was cut as far as its members are not of one component yet.
+    the whole sets: in blocks of a bucket first, and all members of a bucket that was cut
+    as far as they are not of one component yet.
     """
     rows, classes = _classes(docs)
     return join_salted(rows, classes, ["node"]).select("doc_id", "text_hash", "node", "label", "component_id")

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from seriesmill.llm import simhash
+from seriesmill.llm.common import bin_of
 
 
 def plain_shingles(text):
@@ -129,3 +130,52 @@ def test_columns_with_clashing_names_and_ties(spark):
     kept = [tuple(r) for r in got.collect()]
     assert all(k in rows for k in kept) and sorted((r[0] or 0) for r in kept) == [0, 1, 1]
     assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_members_of_a_cut_bucket_move_once(spark):
+    size = 3000
+    wide = spark.createDataFrame([(k, i, 100 + i % 40) for k in (1, 2) for i in range(size)], "key long, node long, n int")
+    some = spark.createDataFrame([(i, 0) for i in range(0, size, 2)], "node long, label long")
+    rows = simhash._crossing(wide, some, []).collect()
+    assert len(rows) == 2 * size and len({r.grp for r in rows}) == 2
+    assert all(r.label == (r.node if r.node % 2 else 0) for r in rows)
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_every_pair_of_different_labels_in_a_cut_bucket_meets(spark, salts, monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE_MEMBERS", 7)
+    monkeypatch.setattr(simhash, "WIDE_SHINGLES", 500)
+    wide = spark.createDataFrame([(k, i, 90 + i % 10) for k in (1, 2) for i in range(k * 30)], "key long, node long, n int")
+    hot = [(r.bin, salts) for r in wide.select(bin_of(["key"]).alias("bin")).distinct().collect()] if salts > 1 else []
+    labels = {i: 0 for i in range(0, 60, 3)}
+    groups = {}
+    for r in simhash._crossing(wide, spark.createDataFrame(list(labels.items()), "node long, label long"), hot).collect():
+        groups.setdefault(r.grp, []).append(r.node)
+    met = {p for nodes in groups.values() for p in combinations(sorted(nodes), 2)}
+    assert all(len(set(nodes)) == len(nodes) <= 14 for nodes in groups.values())
+    assert {p for p in combinations(range(60), 2) if labels.get(p[0], p[0]) != labels.get(p[1], p[1])} <= met
+
+
+@pytest.mark.parametrize("members", [8, 40])
+def test_tiles_as_one_block(members, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 1 << 60, 120).astype(np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([base[i % 3][rng.random(120) > cut], rng.integers(0, 1 << 60, int(1 + 60 * cut)).astype(np.uint64)])) for i, cut in enumerate(rng.uniform(0, 0.3, 150))]
+    sets += [base[0], base[0][:97], base[0][:60], rng.integers(0, 1 << 60, 90).astype(np.uint64), sets[3]]
+    nodes = list(range(len(sets)))
+
+    def groups(links):
+        root = {i: {i} for i in nodes}
+        for a, b in links:
+            root[a] |= root[b]
+            for i in root[b]:
+                root[i] = root[a]
+        return {frozenset(g) for g in root.values()}
+
+    known = [i if i % 5 else 0 for i in nodes]
+    same = [(i, j) for i, j in combinations(nodes, 2) if known[i] == known[j]]
+    want, want_known = groups(simhash._like(nodes, sets)), groups(simhash._like(nodes, sets, known) + same)
+    pairs = [(i, j) for i, j in combinations(nodes, 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert want == groups(pairs) and {i for p in pairs for i in p} <= set(simhash._able(sets).tolist()) and len(simhash._able(sets)) < len(sets)
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    assert groups(simhash._like(nodes, sets)) == want and groups(simhash._like(nodes, sets, known) + same) == want_known
