@@ -2,69 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seriesmill.sources.tables import cut, cut_table, remove, remove_at_exit, shared_folder  # noqa: F401  for the operators too
+
 #: Keys fall into so many bins by hash; a bin with more than one HOT_SHARE-th of all rows (and HOT_ROWS) is hot.
 BINS, HOT_SHARE, HOT_ROWS = 1 << 13, 256, 200
-_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent and driver and executors are one process (tests,
-    a laptop) a folder of this machine is used; a cluster without the setting is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp("-seriesmill")
-        remove_at_exit(spark, _OWN[app])
-    return _OWN[app]
-
-
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    """The folder goes when the driver ends, in whatever store it is."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, removed when the driver ends."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-        remove_at_exit(spark, spark.sparkContext.getCheckpointDir())
-    return df.checkpoint(eager=True)
-
-
-def cut_table(df: DataFrame) -> DataFrame:
-    """Cuts lineage like `cut`, by a compressed table in the same shared folder: for wide or many rows."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_buckets(rows: int, per_bucket: int = 50_000, least: int = 16) -> int:
     """Buckets for a two-level rank, so that one bucket stays small at every size."""
     return max(least, -(-rows // per_bucket))

@@ -33,18 +33,26 @@ def with_seeds(df: DataFrame, n_seeds: int, first: int = 0) -> DataFrame:
     return df.withColumn("seed", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + n_seeds - 1).cast("long"))))
 
 
-def block_bootstrap(px: DataFrame, n_samples: int, n_seeds: int = 1, block: int = 30, first_seed: int = 42, by: Sequence[str] = BY) -> DataFrame:
+def with_length(df: DataFrame, n_samples: int | DataFrame) -> DataFrame:
+    """n_samples as a column: one number, or a frame (series_id, n_samples) with one for each series."""
+    if isinstance(n_samples, DataFrame):
+        return df.join(n_samples.select("series_id", "n_samples"), "series_id")
+    return df.withColumn("n_samples", F.lit(n_samples))
+
+
+def block_bootstrap(px: DataFrame, n_samples: int | DataFrame, n_seeds: int = 1, block: int = 30, first_seed: int = 42, by: Sequence[str] = BY) -> DataFrame:
     """by, seed, seq, typical_price: contiguous blocks of real prices, each scaled to start at the last price emitted.
 
     Block starts are uniform in [0, n - block). A draw table is expanded by row index
     and joined to the prices; the chain of scales is a running sum of ln ratios over
     the blocks. Seams repeat a price, as the scaled block starts at the last one.
+    n_samples: see `with_length`.
     """
     by = list(by)
     numbered = px.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("seq")) - 1).select(*by, F.col("_i").cast("long").alias("_i"), "typical_price")
     sizes = px.groupBy(*by).agg((F.count("*") - block).alias("_max")).where("_max >= 1")
-    n_blocks = -(-n_samples // block)
-    draws = with_seeds(sizes, n_seeds, first_seed).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    n_blocks = F.ceil(F.col("n_samples") / block).cast("int")
+    draws = with_seeds(with_length(sizes, n_samples), n_seeds, first_seed).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     draws = draws.withColumn("_start", C.uniform_index(F.col("_max"), F.col("seed"), F.col("block")))
     rows = draws.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumn("_i", F.col("_start") + F.col("pos"))
     rows = rows.join(numbered, [*by, "_i"])
@@ -52,7 +60,7 @@ def block_bootstrap(px: DataFrame, n_samples: int, n_seeds: int = 1, block: int
     w = Window.partitionBy(*by, "seed").orderBy("block")
     before = F.coalesce(F.sum(F.col("_b") - F.col("_a")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.first("_a").over(w)
     scaled = rows.join(ends.select(*by, "seed", "block", "_a", before.alias("_base")), [*by, "seed", "block"])
-    out = scaled.withColumn("seq", (F.col("block") * block + F.col("pos")).cast("long")).where(F.col("seq") < n_samples)
+    out = scaled.withColumn("seq", (F.col("block") * block + F.col("pos")).cast("long")).where("seq < n_samples")
     return out.select(*by, "seed", "seq", F.exp(F.col("_base") + F.ln("typical_price") - F.col("_a")).alias("typical_price"))
 
 
@@ -305,20 +313,20 @@ def fit(px: DataFrame, name: str, options: dict[str, Any] | None = None) -> Data
     return px.select("series_id", "seq", "typical_price").groupBy("series_id").applyInPandas(run, "series_id string, kind string, model string, error string")
 
 
-def sample(models: DataFrame, n_samples: int, n_seeds: int = 1, first_seed: int = 42, p0: DataFrame | None = None, options: dict[str, Any] | None = None) -> DataFrame:
-    """models -> OUT: one sample for each model and seed, in parallel; p0 (series_id, p0) gives first prices."""
+def sample(models: DataFrame, n_samples: int | DataFrame, n_seeds: int = 1, first_seed: int = 42, p0: DataFrame | None = None, options: dict[str, Any] | None = None) -> DataFrame:
+    """models -> OUT: one sample for each model and seed, in parallel; p0 (series_id, p0) gives first prices, n_samples the lengths (see `with_length`)."""
     import json
 
     options = options or {}
-    rows = models.where("model IS NOT NULL")
+    rows = with_length(models.where("model IS NOT NULL"), n_samples)
     rows = rows.join(p0, "series_id", "left") if p0 is not None else rows.withColumn("p0", F.lit(None).cast("double"))
     rows = with_seeds(rows, n_seeds, first_seed).repartition("series_id", "seed")
 
     def run(frames):
         for pdf in frames:
-            for sid, kind, body, start, seed in zip(pdf["series_id"], pdf["kind"], pdf["model"], pdf["p0"], pdf["seed"]):
+            for sid, kind, body, start, seed, n in zip(*(pdf[c] for c in ("series_id", "kind", "model", "p0", "seed", "n_samples"))):
                 more = dict(options) if pd.isna(start) else {**options, "p0": float(start)}
-                prices = FITS[kind][1](json.loads(body), n_samples, rng_of(sid, seed), **more)
+                prices = FITS[kind][1](json.loads(body), int(n), rng_of(sid, seed), **more)
                 yield pd.DataFrame({"series_id": sid, "seed": int(seed), "seq": np.arange(len(prices)), "typical_price": prices})
 
-    return rows.select("series_id", "kind", "model", "p0", "seed").mapInPandas(run, OUT)
+    return rows.select("series_id", "kind", "model", "p0", "seed", "n_samples").mapInPandas(run, OUT)

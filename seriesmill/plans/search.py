@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from seriesmill.functions import columns as C
 from seriesmill.operators import generators as G
 from seriesmill.operators import stats as T
+from seriesmill.sources.tables import cut_table
 
 FAILED = 999.0
 # The grids of the sweeps, the bounds of genes, activations by number, and which settings each stage adds.
@@ -272,28 +273,35 @@ def random_sweep(spark: SparkSession, fit_px: DataFrame, real_px: DataFrame, n:
 
 
 def generator_samples(fit_px: DataFrame, real_px: DataFrame, kinds: dict[str, tuple[str, dict[str, Any]]], n_seeds: int = 10) -> DataFrame:
-    """kinds: label -> (fit or "block_bootstrap", options) -> generator, seed, seq, typical_price, as long as the real series and padded with the last price."""
-    n = real_px.count()
-    p0 = real_px.groupBy("series_id").agg(F.min_by("typical_price", "seq").alias("p0"))
+    """kinds: label -> (fit or "block_bootstrap", options) -> series_id, generator, seed, seq, typical_price, each as long as its real series and padded with the last price."""
+    real = real_px.groupBy("series_id").agg(F.count("*").alias("n_samples"), F.min_by("typical_price", "seq").alias("p0"))
     fit_px, out = fit_px.select("series_id", "seq", "typical_price"), None
     for label, (kind, options) in kinds.items():
         if kind == "block_bootstrap":
-            rows = G.block_bootstrap(fit_px, n, n_seeds, options.get("block", 30), 0)
+            rows = G.block_bootstrap(fit_px, real, n_seeds, options.get("block", 30), 0)
         else:
-            rows = G.sample(G.fit(fit_px, kind, options), n, n_seeds, 0, p0)
-        rows = rows.select(F.lit(label).alias("generator"), "seed", "seq", "typical_price")
+            rows = G.sample(G.fit(fit_px, kind, options), real, n_seeds, 0, real.select("series_id", "p0"))
+        rows = rows.select("series_id", F.lit(label).alias("generator"), "seed", "seq", "typical_price")
         out = rows if out is None else out.unionByName(rows)
-    grid = out.select("generator", "seed").distinct().withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    up = Window.partitionBy("generator", "seed").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(out, ["generator", "seed", "seq"], "left").withColumn("typical_price", F.last("typical_price", ignorenulls=True).over(up))
+    order = Window.partitionBy("series_id", "generator", "seed").orderBy("seq")
+    # Each row goes on up to the next one, the last one up to the length.
+    until = F.coalesce(F.lead("seq").over(order), F.col("n_samples")) - 1
+    grid = G.with_length(out, real).where("seq < n_samples").withColumn("_until", until).withColumn("seq", F.explode(F.sequence("seq", "_until")))
+    price = F.last("typical_price", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return grid.select("series_id", "generator", "seed", "seq", price.alias("typical_price"))
 
 
 def generator_metrics(fit_px: DataFrame, real_px: DataFrame, kinds: dict[str, tuple[str, dict[str, Any]]], n_seeds: int = 10, target: str = "d5") -> DataFrame:
-    """The fact table: one metric record for each generator and seed, against the real series."""
-    key = ["generator", "seed"]
-    synth = generator_samples(fit_px, real_px, kinds, n_seeds).withColumn("side", F.lit("synth"))
-    real = synth.select(*key).distinct().crossJoin(real_px.select((F.row_number().over(Window.partitionBy("series_id").orderBy("seq")) - 1).cast("long").alias("seq"), "typical_price"))  # one series for each of a few keys
-    pair = synth.unionByName(real.withColumn("side", F.lit("real")))
+    """The fact table: one metric record for each series, generator and seed, against the real series.
+
+    All series are in one plan, whose size doesn't depend on their number. The samples
+    and the pairs of series go to tables, as the metrics read them a dozen times.
+    """
+    key = ["series_id", "generator", "seed"]
+    synth = cut_table(generator_samples(fit_px, real_px, kinds, n_seeds))
+    numbers = (F.row_number().over(Window.partitionBy("series_id").orderBy("seq")) - 1).cast("long")
+    real = synth.select(*key).distinct().join(real_px.select("series_id", numbers.alias("seq"), "typical_price"), "series_id")
+    pair = cut_table(synth.withColumn("side", F.lit("synth")).unionByName(real.withColumn("side", F.lit("real"))))
     return T.metric_record(pair, key).withColumn("target", F.lit(target))
 
 

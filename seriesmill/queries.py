@@ -14,6 +14,7 @@ from seriesmill.operators import series as S
 from seriesmill.operators import stats as T
 from seriesmill.plans import evaluate, search, tolerance
 from seriesmill.sources import series as src
+from seriesmill.sources.tables import cut_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -734,7 +735,8 @@ KINDS = {"HMM_GARCH": ("hmm_garch", {"k": 3}), "HMM_parametric": ("hmm_ar", {"k"
 @query()
 def generator_evaluation(spark, sf_dir):
     """Four generators fitted on d1 to d3 and scored against d5 with ten seeds, summarised for each series."""
-    src.metrics_table(_each_series(spark, sf_dir, lambda d: search.generator_metrics(d[0].unionByName(d[1]).unionByName(d[2]), d[4], KINDS)), "generator_facts")
+    px = cut_table(src.with_split(src.all_series(spark, sf_dir)).select("series_id", "seq", "typical_price", "split"))
+    src.metrics_table(search.generator_metrics(px.where("split <= 3"), px.where("split = 5"), KINDS), "generator_facts")
     return spark.sql(SUMMARY_VIEW.replace("SELECT generator", "SELECT series_id, generator").replace("FROM metrics GROUP BY generator", "FROM generator_facts GROUP BY series_id, generator"))
 
 
